@@ -50,8 +50,8 @@ def neighbour(df: DataFrame, pos: str, n: int, fields: list[str], out: str, afte
     if n <= block:
         return df.withColumn(out, step(near).over(Window.partitionBy(F.lit(0)).orderBy(pos)))
     b = F.floor(F.col(pos) / block).cast("long")
-    df = df.withColumn("_b", b).withColumn(out, step(near).over(Window.partitionBy("_b").orderBy(pos)))
+    df = df.withColumn("__block", b).withColumn(out, step(near).over(Window.partitionBy("__block").orderBy(pos)))
     edge = (F.min_by if after else F.max_by)(near, F.col(pos))
-    heads = df.groupBy("_b").agg(edge.alias("_e"))
-    heads = neighbour(heads, "_b", n // block + 1, ["_e"], "_n", after, block).select("_b", F.col("_n._e").alias("_n"))
-    return df.join(heads, "_b", "left").withColumn(out, F.coalesce(out, "_n")).drop("_b", "_n")
+    heads = df.groupBy("__block").agg(edge.alias("__row"))
+    heads = neighbour(heads, "__block", n // block + 1, ["__row"], "__near", after, block).select("__block", F.col("__near.__row").alias("__near"))
+    return df.join(heads, "__block", "left").withColumn(out, F.coalesce(out, "__near")).drop("__block", "__near")
