@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.conversations import conversation_report, conversations
+from memspark.llm.nearcopies import components, near_copies
 from memspark.llm.neighbours import nearest
 from memspark.sources.tables import table
 
@@ -38,7 +39,27 @@ def p3_topk(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("vector_id"), F.col("near").alias("near_id"), F.round("cosine", 5).alias("cosine"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of memories of at least 24 words of which 80 % are common."""
+    classes, pairs = near_copies(table(spark, d, "memories", "memory_id", "content"), "memory_id", "content")
+    a, b = (classes.select(F.col("id").alias(f"m{x}"), F.col("class_id").alias(f"class_{x}")) for x in "ab")
+    near = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("ma", "mb")
+    many = classes.groupBy("class_id").count().filter("count > 1").select("class_id")
+    copies = classes.join(many, "class_id")
+    copies = copies.select("class_id", F.col("id").alias("ma")).join(copies.select("class_id", F.col("id").alias("mb")), "class_id").filter("ma < mb").select("ma", "mb")
+    return near.unionByName(copies).select(F.least("ma", "mb").alias("memory_id_a"), F.greatest("ma", "mb").alias("memory_id_b")).distinct()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per memory of at least 24 words: its class of equal word counts, its group, and the class's links."""
+    classes, pairs = near_copies(table(spark, d, "memories", "memory_id", "content"), "memory_id", "content")
+    links = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    group = components(pairs, "class_a", "class_b").withColumnRenamed("node", "class_id")
+    return classes.join(links, "class_id", "left").join(group, "class_id", "left").select(
+        F.col("id").alias("memory_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups)}
 
 _TURNS = r"""WITH raw AS (SELECT nullif(trim(session_id), '') AS session_id, turn_index AS i, lower(trim(coalesce(speaker, ''))) AS sp,
     regexp_replace(raw_text, '^[\s\p{Z}\x{200B}]+|[\s\p{Z}\x{200B}]+$', '', 'g') AS t FROM ledger_turns),
