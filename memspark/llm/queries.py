@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.conversations import conversation_report, conversations
+from memspark.llm.leaks import leaked_passages
 from memspark.llm.nearcopies import components, near_copies
 from memspark.llm.neighbours import nearest
 from memspark.sources.tables import table
@@ -59,7 +60,21 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("memory_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the held-out items of which they hold a passage."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of words to remove from each document."""
+    return _leaks(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans)}
 
 _TURNS = r"""WITH raw AS (SELECT nullif(trim(session_id), '') AS session_id, turn_index AS i, lower(trim(coalesce(speaker, ''))) AS sp,
     regexp_replace(raw_text, '^[\s\p{Z}\x{200B}]+|[\s\p{Z}\x{200B}]+$', '', 'g') AS t FROM ledger_turns),
