@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.conversations import conversation_report, conversations
+from memspark.llm.cutoffs import cut_rates, cut_texts, source_name
 from memspark.llm.leaks import leaked_passages
+from memspark.llm.mixture import mixture, shares_report, token_counts
 from memspark.llm.nearcopies import components, near_copies
 from memspark.llm.neighbours import nearest
 from memspark.sources.tables import table
@@ -74,7 +76,39 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans)}
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    weights = table(spark, d, "source_weights").collect()  # one row per source of the target mixture
+    names = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.lower(F.trim("lang")).alias("lang"), "text")
+    counted = token_counts(names, ["doc_id", "source", "lang"], "text")
+    return mixture(counted, "doc_id", ["source", "lang"], {(w.source,): w.target_share for w in weights}, {w.source: w.max_repeats for w in weights})
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Documents drawn for the target mixture and how often each is used."""
+    return _mixture(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return shares_report(_mixture(spark, d), "source", table(spark, d, "source_weights"))
+
+
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut off in mid-word or mid-sentence."""
+    return _cuts(spark, d).filter("cut").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts texts off."""
+    return cut_rates(_cuts(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 _TURNS = r"""WITH raw AS (SELECT nullif(trim(session_id), '') AS session_id, turn_index AS i, lower(trim(coalesce(speaker, ''))) AS sp,
     regexp_replace(raw_text, '^[\s\p{Z}\x{200B}]+|[\s\p{Z}\x{200B}]+$', '', 'g') AS t FROM ledger_turns),
