@@ -13,10 +13,11 @@ from memspark.operators.lineage import materialise
 from memspark.operators.rows import clean_id
 
 BUCKETS = 1 << 18  # words are counted by hash bucket; the counts are what the driver and the tasks hold
-HOT = 2048  # documents of a word above which its group is split by a second word
-SLICE = 4096  # rows of a two-word group above which it is split into slices
+HOT = 4096  # documents of a word above which its group is split by a second word
+SLICE = 8192  # rows of a two-word group above which it is split into slices
 COUNT_BUCKETS = 1 << 20
-LEAF_PAIRS = 64  # node pairs with at most so many row pairs are compared row by row
+LEAF_PAIRS = 16384  # node pairs with at most so many row pairs are compared row by row
+DENSE_PAIRS = 400  # from so many on as a block
 TRIE_BITS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,14 +148,14 @@ def trie_join(key: np.ndarray, side: np.ndarray, n: np.ndarray, sk: np.ndarray,
     A binary trie over the first TRIE_BITS sketch bits stands below each key; all tries are
     walked level by level together. A pair of nodes carries the differing bits so far and
     splits into four (three for a node with itself); it is dropped once they exceed the
-    budget of the group's longest document, and compared row by row once it holds few row
-    pairs. Rows are compared 64 bits at a time against their own budget, the number of
-    tokens they may not share: n1 + n2 - 2 ceil(share max(n1, n2)).
+    budget of the group's longest document, and its rows are compared once it holds few row
+    pairs. Rows are compared 64 bits at a time with their own budget, the number of tokens
+    they may not share: n1 + n2 - 2 ceil(share max(n1, n2)).
     """
     if len(key) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     o = np.lexsort((sk[:, 0], key))
-    key, side, n, sk = key[o], side[o], n[o].astype(np.int64), sk[o]
+    key, side, n, sk = key[o], side[o], n[o].astype(np.int64), np.asfortranarray(sk[o])
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     lo, hi = cuts[:-1], cuts[1:]
     most = np.maximum.reduceat(n, lo)
@@ -178,8 +179,26 @@ def trie_join(key: np.ndarray, side: np.ndarray, n: np.ndarray, sk: np.ndarray,
         ok = (stacked[0] < stacked[1]) & (stacked[2] < stacked[3]) & (stacked[4] <= bud)
         a0, a1, b0, b1, err, bud = (*(x[ok] for x in stacked), bud[ok])
     a0, a1, b0, b1 = (np.concatenate([x[i] for x in leaves]) for i in range(4))
+    need = _least_common(n, share)
     size = (a1 - a0) * (b1 - b0)
     got_i, got_j = [], []
+    big = size >= DENSE_PAIRS
+    narrow_n, narrow_need = n.astype(np.int32), need.astype(np.int32)
+    for x0, x1, y0, y1 in zip(*(v[big].tolist() for v in (a0, a1, b0, b1)), strict=True):
+        need_both = np.maximum(narrow_need[x0:x1, None], narrow_need[None, y0:y1])
+        room = narrow_n[x0:x1, None] + narrow_n[None, y0:y1] - 2 * need_both
+        diff = np.bitwise_count(sk[x0:x1, 0, None] ^ sk[None, y0:y1, 0]).astype(np.int16)
+        for w in range(1, 4):
+            diff += np.bitwise_count(sk[x0:x1, w, None] ^ sk[None, y0:y1, w])
+        i, j = np.nonzero(diff <= room)
+        i, j = i + x0, j + y0
+        ok = np.minimum(n[i], n[j]) >= np.maximum(need[i], need[j])
+        if x0 == y0:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        ok = (side[i] == 2) | (side[i] != side[j])
+        got_i.append(o[i[ok]]), got_j.append(o[j[ok]])
+    a0, a1, b0, b1, size = (v[~big] for v in (a0, a1, b0, b1, size))
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
@@ -189,10 +208,9 @@ def trie_join(key: np.ndarray, side: np.ndarray, n: np.ndarray, sk: np.ndarray,
         wide_r = np.repeat(wide, s)
         i, j = np.repeat(a0[at:to], s) + within // wide_r, np.repeat(b0[at:to], s) + within % wide_r
         twin = np.repeat(a0[at:to] == b0[at:to], s)
-        most = np.maximum(n[i], n[j])
-        need = _least_common(most, share)
-        ok = (~twin | (i < j)) & (np.minimum(n[i], n[j]) >= need) & ((side[i] == 2) | (side[i] != side[j]))
-        i, j, budget = i[ok], j[ok], (n[i] + n[j] - 2 * need)[ok]
+        most = np.maximum(need[i], need[j])
+        ok = (~twin | (i < j)) & (np.minimum(n[i], n[j]) >= most) & ((side[i] == 2) | (side[i] != side[j]))
+        i, j, budget = i[ok], j[ok], (n[i] + n[j] - 2 * most)[ok]
         diff = np.zeros(len(i), np.int64)
         for w in range(4):
             diff += np.bitwise_count(sk[i, w] ^ sk[j, w])
@@ -200,6 +218,8 @@ def trie_join(key: np.ndarray, side: np.ndarray, n: np.ndarray, sk: np.ndarray,
             i, j, diff, budget = i[ok], j[ok], diff[ok], budget[ok]
         got_i.append(o[i]), got_j.append(o[j])
         at = to
+    if not got_i:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(got_i), np.concatenate(got_j)
 
 
@@ -265,7 +285,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, share: float = 0.8, l
     load = np.zeros(BUCKETS, np.int64)
     load[counted.column("b").to_numpy()] = counted.column("count").to_numpy()
     toks = materialise(bags.select("rid", "h").mapInArrow(_ordered_tokens(load), "rid long, n long, toks array<long>, seen array<int>"), "tokens")
-    big = toks.mapInArrow(_count_keys(share, HOT), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > max(SLICE, HOT * 2))
+    big = toks.mapInArrow(_count_keys(share, HOT), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > SLICE)
     slices = {r.bucket: -(-r.n // SLICE) for r in big.collect()}
     keys = toks.mapInArrow(_emit_keys(share, HOT, slices), "key long, side byte, rid long, n int, s0 long, s1 long, s2 long, s3 long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
