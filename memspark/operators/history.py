@@ -47,15 +47,16 @@ def attribute_history(changes: DataFrame, attribute: list[Column], value: Column
     shuffle over (attribute, time) and compared in fixed blocks of positions.
     """
     name = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), c), F.lit("0")) for c in attribute]))
-    rows = changes.withColumn("attr", name).withColumn("val", value).filter(F.col("val").isNotNull() & F.col(time).isNotNull())
+    tie = [F.col(c).alias(f"tie{i}") for i, c in enumerate(order)]
+    rows = changes.select(name.alias("attr"), value.alias("val"), F.col(time).alias("at"), F.col(row).alias("row"), *tie).filter("val is not null and at is not null")
     snaps = (
-        rows.groupBy("attr", F.col(time).alias("at"))
-        .agg(F.max(F.struct(*order, row, "val")).alias("_r"))
-        .select("attr", "at", F.col(f"_r.{row}").alias(row), F.md5("_r.val").alias("vkey"), F.col("_r.val").alias("value"))
+        rows.groupBy("attr", "at")
+        .agg(F.max(F.struct(*[f"tie{i}" for i in range(len(order))], "row", "val")).alias("_r"))
+        .select("attr", "at", F.col("_r.row").alias("row"), F.md5("_r.val").alias("vkey"), F.col("_r.val").alias("value"))
     )
     snaps, n = dense_order(snaps, "attr", "at")
     starts = run_starts(presence_words(snaps, "attr", "vkey", "pos"), "attr", "vkey", "pos").select("pos")
-    versions = snaps.join(starts, "pos").select("attr", "at", row, "value", "pos")
+    versions = snaps.join(starts, "pos").select("attr", "at", "row", "value", "pos")
     nxt = F.col("_next")
     return neighbour(versions, "pos", n, ["attr", "at"], "_next").select(
-        row, "attr", "value", F.col("at").alias("valid_from_ms"), F.when(nxt["attr"] == F.col("attr"), nxt["at"]).otherwise(F.lit(0)).cast("long").alias("valid_to_ms"))
+        F.col("row").alias(row), "attr", "value", F.col("at").alias("valid_from_ms"), F.when(nxt["attr"] == F.col("attr"), nxt["at"]).otherwise(F.lit(0)).cast("long").alias("valid_to_ms"))

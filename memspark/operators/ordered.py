@@ -39,7 +39,7 @@ def dense_order(df: DataFrame, *order: str, pos: str = "pos") -> tuple[DataFrame
     return t.join(first, part == F.col("_p")).withColumn(pos, F.col("_start") + within).drop("_m", "_p", "_start"), offset
 
 
-def neighbour(df: DataFrame, pos: str, n: int, fields: list[str], out: str, after: bool = True, block: int = BLOCK) -> DataFrame:
+def neighbour(df: DataFrame, pos: str, n: int, fields: list[str], out: str, after: bool = True, block: int = BLOCK, level: int = 0) -> DataFrame:
     """Add struct `out`: `fields` of the next (or previous) row by `pos`, over all rows.
 
     `n` is an upper bound of `pos`, so the number of block heads is known beforehand;
@@ -49,9 +49,8 @@ def neighbour(df: DataFrame, pos: str, n: int, fields: list[str], out: str, afte
     near: Column = F.struct(*[F.col(c).alias(c) for c in fields])
     if n <= block:
         return df.withColumn(out, step(near).over(Window.partitionBy(F.lit(0)).orderBy(pos)))
-    b = F.floor(F.col(pos) / block).cast("long")
-    df = df.withColumn("__block", b).withColumn(out, step(near).over(Window.partitionBy("__block").orderBy(pos)))
-    edge = (F.min_by if after else F.max_by)(near, F.col(pos))
-    heads = df.groupBy("__block").agg(edge.alias("__row"))
-    heads = neighbour(heads, "__block", n // block + 1, ["__row"], "__near", after, block).select("__block", F.col("__near.__row").alias("__near"))
-    return df.join(heads, "__block", "left").withColumn(out, F.coalesce(out, "__near")).drop("__block", "__near")
+    at, row, far = f"__block{level}", f"__row{level}", f"__near{level}"
+    df = df.withColumn(at, F.floor(F.col(pos) / block).cast("long")).withColumn(out, step(near).over(Window.partitionBy(at).orderBy(pos)))
+    heads = df.groupBy(at).agg((F.min_by if after else F.max_by)(near, F.col(pos)).alias(row))
+    heads = neighbour(heads, at, n // block + 1, [row], far, after, block, level + 1).select(at, F.col(f"{far}.{row}").alias(far))
+    return df.join(heads, at, "left").withColumn(out, F.coalesce(out, far)).drop(at, far)

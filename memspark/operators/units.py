@@ -87,17 +87,17 @@ def solve_units(df: DataFrame, identity: dict[str, int], candidates: dict[str, l
     entries = []
     for k, combo in enumerate(combos):
         logs = [F.log(scale(c, i)) * identity[c] for c, i in zip(cols, combo, strict=True)]
-        entries.append(F.struct(F.abs(F.col("_lv") + sum(logs, F.lit(0.0))).alias("residual"), F.lit(k).alias("combo"), F.array(*[scale(c, i) for c, i in zip(cols, combo, strict=True)]).alias("scales")))
-    df = df.withColumn("_lv", F.when(usable, log_values)).withColumn("_fits", F.array_sort(F.array(*entries)))
-    best = F.col("_fits")[0]
-    rival = F.exists("_fits", lambda x: (x["residual"] <= best["residual"] + tolerance) & (x["scales"] != best["scales"]))
-    solved = F.col("_lv").isNotNull() & (best["residual"] <= tolerance)
-    df = df.withColumn("log_residual", F.when(F.col("_lv").isNotNull(), best["residual"])).withColumn(
+        entries.append(F.struct(F.abs(F.col("__log_values") + sum(logs, F.lit(0.0))).alias("residual"), F.lit(k).alias("combo"), F.array(*[scale(c, i) for c, i in zip(cols, combo, strict=True)]).alias("scales")))
+    df = df.withColumn("__log_values", F.when(usable, log_values)).withColumn("__fits", F.array_sort(F.array(*entries)))
+    best = F.col("__fits")[0]
+    rival = F.exists("__fits", lambda x: (x["residual"] <= best["residual"] + tolerance) & (x["scales"] != best["scales"]))
+    solved = F.col("__log_values").isNotNull() & (best["residual"] <= tolerance)
+    df = df.withColumn("log_residual", F.when(F.col("__log_values").isNotNull(), best["residual"])).withColumn(
         "unit_status", F.when(~F.coalesce(solved, F.lit(False)), "unsolved").when(rival, "ambiguous").otherwise("solved"))
     for j, c in enumerate(cols):
         names = F.array(*[F.lit(candidates[c][combo[j]][0]) for combo in combos])
         df = df.withColumn(f"{c}_unit", F.when(solved, names[best["combo"]])).withColumn(f"{c}_common", F.when(solved, F.col(c) * best["scales"][j]))
-    return df.drop("_lv", "_fits")
+    return df.drop("__log_values", "__fits")
 
 
 def common_readings(metrics: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def common_readings(metrics: DataFrame) -> DataFrame:
     identity, so the identity used is the trivial one, value in common units = value times
     the declared unit's scale. The unit is found by least log residual among the
     quantity's units against the scale declared in `unit`, or, if that is blank, in the
-    label; a residual above 0 means no known unit. Rows with the same content_hash are one
+    label, plus the difference of their zero points; a residual above 0 means no known unit. Rows with the same content_hash are one
     (the least); a null hash, a null or NaN value and labels of other quantities give no row.
     A common value beyond the range of bigint has a null common_int.
     """
@@ -117,7 +117,7 @@ def common_readings(metrics: DataFrame) -> DataFrame:
     one = one.withColumn("quantity", quantity).filter(F.col("quantity").isin(*UNITS) & F.col("value").isNotNull() & ~F.isnan("value"))
     one = one.withColumn("declared", declared_unit(F.col("quantity"), F.col("unit"), F.col("label")))
     scales = F.create_map(*itertools.chain.from_iterable((F.lit(q), F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(o).alias("offset")) for _, s, o in rows])) for q, rows in UNITS.items()))
-    fits = F.transform(scales[F.col("quantity")], lambda u: F.struct(F.abs(F.log(u["scale"] / F.col("declared.scale"))).alias("residual"), u["scale"].alias("scale"), u["offset"].alias("offset")))
+    fits = F.transform(scales[F.col("quantity")], lambda u: F.struct((F.abs(F.log(u["scale"] / F.col("declared.scale"))) + F.abs(u["offset"] - F.col("declared.offset"))).alias("residual"), u["scale"].alias("scale"), u["offset"].alias("offset")))
     one = one.filter("declared is not null").withColumn("fit", F.array_min(fits)).filter(F.col("fit.residual") < 1e-9)
     value = F.col("value") * F.col("declared.multiplier")
     common = F.when(F.col("quantity") == "temperature", value * F.col("fit.scale") + F.col("fit.offset")).otherwise(value * F.col("fit.scale"))

@@ -10,7 +10,7 @@ from memspark.operators.history import attribute_history
 from memspark.operators.lineage import materialise
 from memspark.operators.references import OrphanState
 from memspark.operators.rows import clean_id, epoch_ms, latest, one_per_key
-from memspark.operators.units import common_readings
+from memspark.operators.units import MULTIPLIERS, UNITS, common_readings
 from memspark.sources.tables import table
 
 # Edge types whose ends are names; the other types' ends are memory ids.
@@ -120,7 +120,16 @@ names AS (SELECT DISTINCT trim(canonical_name) AS k FROM entity_registry WHERE c
 judged AS (SELECT r.*, CASE WHEN kind = 'name' THEN CASE WHEN n.k IS NULL THEN 'missing' END WHEN g.k IS NOT NULL THEN 'deleted' WHEN m.k IS NULL THEN 'missing' WHEN m.ms > ref_ms THEN 'late' END AS ref_status
     FROM refs r LEFT JOIN mem m ON r.k = m.k LEFT JOIN gone g ON r.k = g.k LEFT JOIN names n ON r.k = n.k WHERE r.k IS NOT NULL)
 """
+_UNIT_ROWS = ", ".join(f"('{q}', '{n}', {s}::DOUBLE, {o}::DOUBLE)" for q, rows in UNITS.items() for names, s, o in rows for n in names)
+_TIMES = " ".join(f"WHEN '{w}' THEN {m}" for w, m in MULTIPLIERS.items())
 SQL = {
+    "p7_found": f"""WITH one AS (SELECT trim(content_hash) AS content_hash, min(label) AS label, arg_min(coalesce(unit, ''), label) AS unit, arg_min(value, label) AS value FROM metrics WHERE trim(content_hash) <> '' GROUP BY 1),
+q AS (SELECT *, regexp_extract(lower(trim(label)), '^([^\\s_]+)', 1) AS quantity, CASE WHEN trim(unit) = '' THEN regexp_extract(trim(label), '[\\s_]([^\\s_]+)$', 1) ELSE unit END AS t FROM one WHERE value IS NOT NULL AND NOT isnan(value)),
+w AS (SELECT *, list_filter(regexp_split_to_array(trim(regexp_replace(lower(translate(t, '()[]{{}}.,;°_~', '            ')), '\\b(deg(ree|rees)?|approx(imately)?)\\b', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w0 FROM q),
+x AS (SELECT *, CASE WHEN len(w0) > 1 AND w0[1] = 'in' THEN w0[2:] ELSE w0 END AS w1 FROM w),
+y AS (SELECT *, CASE WHEN len(w1) > 1 THEN CASE w1[1] {_TIMES} END END AS many FROM x)
+SELECT content_hash, y.quantity, CAST(round(value * coalesce(many, 1) * scale + offs) AS BIGINT) AS common_int
+FROM y JOIN (VALUES {_UNIT_ROWS}) u(quantity, name, scale, offs) ON y.quantity = u.quantity AND u.name = array_to_string(CASE WHEN many IS NULL THEN w1 ELSE w1[2:] END, '')""",
     "p2_found": f"""WITH RECURSIVE {_CARDS},
 n AS (SELECT card_id, entity_id, subject, trim(translate(lower(predicate), '_-', '  ')) AS predicate, trim(regexp_replace(lower(object), '\\s+', ' ', 'g')) AS val, created_at_ms AS t, depth
     FROM one JOIN tree USING (card_id) WHERE card_type IN ('fact', 'preference', 'decision') AND is_inference = 0 AND predicate IS NOT NULL AND object IS NOT NULL AND created_at_ms IS NOT NULL),
