@@ -12,6 +12,7 @@ from memspark.functions import extract, scoring, text
 from memspark.operators import changes, graph, metrics, resolve, search, temporal
 from memspark.operators.lineage import scratch_root
 from memspark.operators.rows import clean_id, latest
+from memspark.plans import planner
 from memspark.sources.tables import table
 from memspark.streaming import pipelines
 
@@ -574,3 +575,69 @@ def stream_metric_windows(spark, d):
     s = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
     out = pipelines.run_to_table(pipelines.metric_windows(s, ["event_type"], "at", "value"), f"{scratch_root(spark)}/windows-{uuid.uuid4().hex[:8]}", "complete")
     return out.withColumn("sum", F.round("sum", 4))
+
+
+# ---- planned retrieval -----------------------------------------------------------------------
+
+PLANNED = [planner.plan(q) for q in ("When did the contract with the studio start?", "How many ramen boxes were there in total?", "Would Jejen likely choose yoga?", "any tips for the piano")]
+_TERMS = " UNION ALL ".join(f"SELECT '{p.intent}' AS intent, '{t}' AS term, {len(p.terms)} AS n_terms" for p in PLANNED for t in p.terms)
+
+
+@query(f"""SELECT intent, session_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY hits DESC, session_id) AS r FROM (SELECT intent, session_id, count(DISTINCT term) AS hits FROM {L} JOIN ({_TERMS}) q ON contains(lower(text), term) GROUP BY 1, 2)) WHERE r <= 20""")
+def pivot_sessions(spark, d):
+    """The twenty sessions with most of each planned question's terms."""
+    out = None
+    low = ledger(spark, d).select("session_id", F.lower("text").alias("t"))
+    for p in PLANNED:
+        x = low.select("session_id", F.filter(F.array(*[F.lit(w) for w in p.terms]), _in_text).alias("w")) if p.terms else None
+        if x is not None:
+            x = x.select("session_id", F.explode("w").alias("term")).groupBy("session_id").agg(F.countDistinct("term").alias("hits")).select(F.lit(p.intent).alias("intent"), "session_id", "hits")
+            out = x if out is None else out.unionByName(x)
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("intent").orderBy(F.desc("hits"), "session_id"))).filter("r <= 20").drop("r")
+
+
+def _in_text(w):
+    return F.contains(F.col("t"), w)
+
+
+@query(f"""SELECT entity_id, memory_id, strength, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY strength DESC, memory_id) AS rank FROM (SELECT entity_id, memory_id, round(greatest(CASE WHEN regexp_matches(lower(content), 'love|favou?rite') THEN 0.9 ELSE 0 END,
+    CASE WHEN regexp_matches(lower(content), 'prefers?') THEN 0.8 ELSE 0 END, CASE WHEN regexp_matches(lower(content), 'likes?|enjoys?') THEN 0.7 ELSE 0 END, CASE WHEN kind = 'Preference' THEN 0.6 ELSE 0 END), 2)::DOUBLE AS strength FROM {M} WHERE entity_id IS NOT NULL) WHERE strength > 0) WHERE rank <= 5""")
+def preference_memories(spark, d):
+    """The five strongest preferences of each entity, by the strongest phrase."""
+    low = F.lower("content")
+    weights = [(low.rlike("love|favou?rite"), 0.9), (low.rlike("prefers?"), 0.8), (low.rlike("likes?|enjoys?"), 0.7), (F.col("kind") == "Preference", 0.6)]
+    strength = F.greatest(*[F.when(c, v).otherwise(0.0) for c, v in weights])
+    m = memories(spark, d).filter("entity_id is not null").select("entity_id", "memory_id", strength.alias("strength")).filter("strength > 0")
+    return m.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("strength"), "memory_id"))).filter("rank <= 5")
+
+
+@query(_BM25 + """SELECT query, round(least(greatest(0.55 * t1 + 0.25 * greatest(t1 - t2, 0) + 0.20 * support, 0), 1), 6) AS confidence, confidence < 0.24 AS abstain FROM (SELECT query, max(s) FILTER (rank = 1) AS t1, coalesce(max(s) FILTER (rank = 2), 0) AS t2, count(*) FILTER (rank <= 6 AND n >= 2) / 6.0 AS support
+    FROM (SELECT r.query, r.rank, r.score / (1 + r.score) AS s, len(list_filter(list_distinct(t.w), lambda x: list_contains(qs.terms, x))) AS n FROM r JOIN t USING (doc) JOIN (SELECT query, list(term) AS terms FROM q GROUP BY 1) qs ON qs.query = r.query WHERE rank <= 10) GROUP BY 1)""")
+def evidence_confidence(spark, d):
+    """Top score, its margin and the support of the first six, and whether to abstain."""
+    m = memories(spark, d).select(F.col("memory_id").alias("doc"), text.similarity_tokens(F.col("content")).alias("w"))
+    asked = F.broadcast(spark.createDataFrame(QUESTIONS, "query string, terms array<string>"))
+    x = _bm25(spark, d, 10).join(m, "doc").join(asked, "query").withColumn("n", F.size(F.array_intersect("w", "terms"))).withColumn("s", F.col("score") / (1 + F.col("score")))
+    top = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("s"))), F.lit(0.0))
+    g = x.groupBy("query").agg(top(1).alias("t1"), top(2).alias("t2"), (F.count(F.when((F.col("rank") <= 6) & (F.col("n") >= 2), 1)) / 6.0).alias("support"))
+    c = F.round(F.least(F.greatest(0.55 * F.col("t1") + 0.25 * F.greatest(F.col("t1") - F.col("t2"), F.lit(0.0)) + 0.20 * F.col("support"), F.lit(0.0)), F.lit(1.0)), 6)
+    return g.select("query", c.alias("confidence"), (c < 0.24).alias("abstain"))
+
+
+@query(f"""SELECT session_id, turn, answer, value FROM (SELECT session_id, turn, unnest(['count', 'sum', 'average', 'difference']) AS answer, unnest([len(v)::DOUBLE, round(list_sum(v), 4), round(list_avg(v), 4), round(list_max(v) - list_min(v), 4)]) AS value
+    FROM (SELECT session_id, turn, list_transform(regexp_extract_all(text, '\\b(\\d+(?:\\.\\d+)?)\\b', 1), lambda x: x::DOUBLE) AS v FROM {L}) WHERE len(v) > 1)""")
+def numeric_answers(spark, d):
+    """Count, sum, average and difference of the numbers of every turn that has several."""
+    v = F.transform(F.regexp_extract_all("text", F.lit("\\b(\\d+(?:\\.\\d+)?)\\b"), F.lit(1)), _double)
+    t = ledger(spark, d).select("session_id", "turn", v.alias("v")).filter(F.size("v") > 1)
+    total = F.aggregate("v", F.lit(0.0), _plus)
+    made = F.create_map(F.lit("count"), F.size("v").cast("double"), F.lit("sum"), F.round(total, 4), F.lit("average"), F.round(total / F.size("v"), 4), F.lit("difference"), F.round(F.array_max("v") - F.array_min("v"), 4))
+    return t.select("session_id", "turn", F.explode(made).alias("answer", "value"))
+
+
+def _double(x):
+    return x.cast("double")
+
+
+def _plus(a, b):
+    return a + b
