@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +15,8 @@ from pyspark.sql import types as T
 from memspark.functions.text import phonetic_key
 
 NEAR = 0.92
+LONG = 256  # characters; names beyond are paired by length alone
+RANKED = 512  # letters whose frequency is looked up; rarer ones count as equally rare
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -43,23 +50,98 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def common_letters(a: int, b: int) -> int:
+    """How many letters names of lengths a and b have in common at least, if their similarity is
+    0.92 or more and they differ within the first three letters.
+
+    At most two leading letters are equal then, so Jaro is 0.9 or more; its last term is at
+    most 1, so m / a + m / b is 1.7 or more for m matched letters.
+    """
+    return -(-17 * a * b // (10 * (a + b)))
+
+
+def letters(name: str) -> list[tuple[str, int]]:
+    """A name's letters, each with how many equal ones stand before it: a set whose overlaps count common letters."""
+    seen: Counter[str] = Counter()
+    out = []
+    for x in name:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
+def letter_keys(name: str, rank: dict[tuple[str, int], int], wide: bool) -> set[str]:
+    """Keys of which two names share one if their lengths allow for enough common letters and they have them.
+
+    For every length b of the other name, of the letters ordered from rare to frequent the
+    first len - common + k hold the k rarest common ones, whichever those are; the keys are all
+    k of them (k = 3, fewer for long names). Names beyond LONG have bands of lengths as
+    keys; of two names one has to be `wide`, which gives the bands next to its own too.
+    """
+    a = len(name)
+    order = sorted(letters(name), key=lambda x: (rank.get(x, -1), x))
+    out = set()
+    for b in range(-(-7 * a // 10), min(10 * a // 7, LONG) + 1) if a <= LONG else ():
+        need = common_letters(a, b)
+        if need > min(a, b):
+            continue
+        k = min(need, 3 if max(a, b) <= 24 else 2 if max(a, b) <= 64 else 1)
+        lengths = f"{a} {b} " if wide else f"{b} {a} "
+        out |= {lengths + "".join(f"{x}{i or ''}" for x, i in c) for c in combinations(order[: a - need + k], k)}
+    if 10 * a > 7 * LONG:
+        band = (a * 10).bit_length()  # a length differs from 0.7 of it by one band at most
+        out |= {f"band {x}" for x in ((band - 1, band, band + 1) if wide else (band,))}
+    return out
+
+
+def with_letter_keys(names: DataFrame, low: str, rank: dict[tuple[str, int], int], wide: bool) -> DataFrame:
+    """Every row of `names` once per letter key of the column `low`, in column b."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # a row becomes many
+                part = batch.slice(at, 256)
+                keys = [sorted(letter_keys(x, rank, wide)) for x in part.column(low).to_pylist()]
+                rows = pa.array([i for i, ks in enumerate(keys) for _ in ks], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.take(rows).columns, pa.array([x for ks in keys for x in ks], pa.string())], names=[*part.schema.names, "b"])
+
+    return names.mapInArrow(keyed, T.StructType([*names.schema.fields, T.StructField("b", T.StringType())]))
+
+
+def letter_ranks(names: DataFrame, low: str) -> dict[tuple[str, int], int]:
+    """Ranks, from 0 for the rarest, of the most frequent letters of names."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter(x for name in batch.column(0).to_pylist() for x in letters(name[:LONG]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([i for _, i in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["x", "i", "n"])
+
+    top = names.select(low).mapInArrow(split, "x string, i long, n long").groupBy("x", "i").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "x", "i").limit(RANKED).collect()
+    return {(r.x, r.i): k for k, r in enumerate(reversed(top))}
+
+
 def resolve(names: DataFrame, name: str, registry: DataFrame, entity: str, canonical: str) -> DataFrame:
     """(name, resolved, method, confidence): what each distinct name resolves to in the registry.
 
     The first tier that finds something wins: equal names (1.0), names of similarity 0.92 or
-    more (their similarity), equal phonetic keys (0.85). Similarity is computed only within
-    blocks of the same first three letters, where a score that high can be expected, and
-    names that were found exactly are not compared further. Names shorter than two
+    more (their similarity), equal phonetic keys (0.85). Similarity is computed for all pairs
+    that can reach 0.92: those with the same first three letters, and those of `letter_keys`.
+    Names that were found exactly are not compared further. Names shorter than two
     characters resolve to nothing. Of equally good candidates the least name is taken.
     """
     asked = names.select(F.trim(name).alias("name")).filter(F.length("name") >= 2).distinct()
     known = registry.select(F.trim(canonical).alias("hit"), F.col(entity)).filter(F.length("hit") > 0).groupBy("hit").agg(F.min(entity).alias("entity"))
     exact = asked.join(known.groupBy(F.lower("hit").alias("k")).agg(F.min("hit").alias("hit")), F.lower("name") == F.col("k")).select("name", F.col("hit").alias("resolved"), F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
     open_ = asked.join(exact.select("name"), "name", "left_anti")
-    block = lambda c: F.lower(F.substring(c, 1, 3))
-    pairs = open_.withColumn("b", block("name")).join(known.withColumn("b", block("hit")), "b")
+    asked_low = open_.withColumn("low", F.lower("name"))
+    known_low = known.select("hit", F.lower("hit").alias("low_hit"))
+    rank = letter_ranks(known_low, "low_hit")
+    block = lambda c: F.substring(c, 1, 3)
+    alike = asked_low.withColumn("b", block("low")).join(known_low.withColumn("b", block("low_hit")), "b")
+    other = with_letter_keys(asked_low, "low", rank, True).join(with_letter_keys(known_low, "low_hit", rank, False), "b").filter(block("low") != block("low_hit")).distinct()
+    pairs = alike.unionByName(other.select(alike.columns))
     best = Window.partitionBy("name").orderBy(F.desc("confidence"), "resolved")
-    near = pairs.select("name", F.col("hit").alias("resolved"), name_similarity(F.lower("name"), F.lower("hit")).alias("confidence")).filter(F.col("confidence") >= NEAR)
+    near = pairs.select("name", F.col("hit").alias("resolved"), name_similarity("low", "low_hit").alias("confidence")).filter(F.col("confidence") >= NEAR)
     near = near.withColumn("r", F.row_number().over(best)).filter("r = 1").select("name", "resolved", F.lit("similar").alias("method"), "confidence")
     sound = known.groupBy(phonetic_key(F.col("hit")).alias("k")).agg(F.min("hit").alias("resolved"))
     heard = open_.join(near.select("name"), "name", "left_anti").withColumn("k", phonetic_key(F.col("name"))).join(sound, "k", "left")
