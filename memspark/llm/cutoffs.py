@@ -12,11 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.operators.lineage import materialise
+from memspark.operators.lineage import materialise, release
 
-CELL_BITS = 26  # of a count's key; counts are kept by key
-KEPT = 1 << 19  # at most so many keys of a table can have the share of all tokens from which a count is kept
-KEPT_WORDS = 1 << 22
+CELL_BITS = 44  # of a count's key, below the number of its table
 ORDERS = (1, 2, 3, 4)
 FLUSH_TOKENS = 1_500_000
 SPIKE = 5.0  # a length is a candidate limit if so many times as frequent as those around it
@@ -30,6 +28,7 @@ _ENTRY = re.compile(r"[-*•] ")  # a list entry
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE, _LINE, _TEXT = np.uint64(7), np.uint64(11), np.uint64(13)
 TABLES = {"word": 0, "dots": 1, "named": 2, "shaped": 3, "head": 4, "place": 5, "spot": 6} | {k: 6 + k for k in ORDERS}
+ASKED = (*ORDERS, "head", "shaped", "named", "word", "dots", "spot", "place")  # the counts an ending is judged by
 
 
 def source_name(c: Column) -> Column:
@@ -62,22 +61,15 @@ def _cell(*hs: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """Sorted keys of all tables with how often they occur and how often they end; what is not kept has 0."""
+    """(n, hit) of the asked cells of each text, a row per text and a column per table of ASKED; what has no count has 0."""
 
-    def __init__(self, key: np.ndarray, hit: np.ndarray, n: np.ndarray) -> None:
-        o = np.argsort(key)
-        key, hit, n = key[o], hit[o], n[o]
-        cuts = np.searchsorted(key, np.arange(len(TABLES) + 1) << CELL_BITS)
-        self.tables = [((key[a:b] & ((1 << CELL_BITS) - 1)).astype(np.int32), hit[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+    def __init__(self, rows: int, row: np.ndarray, pos: np.ndarray, n: np.ndarray, hit: np.ndarray) -> None:
+        self.n, self.hit = (np.zeros((rows, len(ASKED)), np.int64) for _ in range(2))
+        self.n[row, pos], self.hit[row, pos] = n, hit
 
-    def of(self, table: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, hit) of cells."""
-        key, hit, n = self.tables[table]
-        if not len(key):
-            return np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64)
-        at = np.minimum(np.searchsorted(key, cell), len(key) - 1)
-        there = key[at] == cell
-        return np.where(there, n[at], 0), np.where(there, hit[at], 0)
+    def of(self, table: int | str) -> tuple[np.ndarray, np.ndarray]:
+        at = ASKED.index(table)
+        return self.n[:, at], self.hit[:, at]
 
 
 def without_mark(text: str) -> tuple[str, bool]:
@@ -157,11 +149,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     out: list[pa.RecordBatch] = []
 
     def put(table: int, cell: np.ndarray, good: np.ndarray | None = None) -> None:
-        marked = np.sort((cell << 1 | (0 if good is None else good)).astype(np.uint32))
+        marked = np.sort(cell << 1 | (0 if good is None else good))
         first = np.flatnonzero(np.r_[True, marked[1:] >> 1 != marked[:-1] >> 1]) if len(marked) else np.zeros(0, np.int64)
         ends = np.r_[0, np.cumsum(marked & 1)]
         last = np.r_[first[1:], len(marked)].astype(np.int64)
-        key = (marked[first] >> 1).astype(np.int64) | table << CELL_BITS
+        key = marked[first] >> 1 | table << CELL_BITS
         out.append(pa.RecordBatch.from_arrays([pa.array(key), pa.array((ends[last] - ends[first]).astype(np.int64)), pa.array(last - first)], names=["cell", "hit", "n"]))
 
     def flush() -> None:
@@ -197,71 +189,133 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from out
 
 
-def ending_evidence(texts: list[str], counts: Counts) -> np.ndarray:
-    """Log likelihood ratio, cut against complete, of each text's ending; own counts are left out."""
-    out = np.zeros(len(texts))
+def ask_endings(texts: list[str]) -> pa.RecordBatch:
+    """(settled, stop, alpha, capital, dots, entry, cells) of each text's ending.
+
+    settled is the evidence where no counts are needed, else null; cells are then the keys of
+    the counts to look up, in the order of ASKED.
+    """
+    settled: list[float | None] = [None] * len(texts)
     toks: list[str] = []
     rows, marks, entries = [], [], []
     for i, text in enumerate(texts):
         t, mark = ending_of(text)
         if not t:
-            out[i] = 6.0 if mark == "cut" else -7.0
+            settled[i] = 6.0 if mark == "cut" else -7.0
         elif mark == "cut":
-            out[i] = 7.0
+            settled[i] = 7.0
         elif is_markup(t):
-            out[i] = -7.0 if t[-1] in "}]" and t.count("{") <= t.count("}") and t.count("[") <= t.count("]") else 7.0
+            settled[i] = -7.0 if t[-1] in "}]" and t.count("{") <= t.count("}") and t.count("[") <= t.count("]") else 7.0
         elif t.count("```") % 2:
-            out[i] = 7.0
+            settled[i] = 7.0
         else:
             line = t.rfind("\n") + 1  # the last line, and what stands just before it, is what is judged
             toks += _TOKEN.findall(t[t.rfind("\n", 0, max(0, line - 60)) + 1 :])
             toks.append("\x00d" if mark else "\x00")
             rows.append(i), marks.append(mark == "dots"), entries.append(_ENTRY.match(t, line) is not None)
-    if not rows:
-        return out
-    t = Tokens(toks)
-    rows, dots = np.array(rows), np.array(marks)
-    last = np.flatnonzero(t.eof) - 1
-    i = np.arange(len(toks))
-    start = np.maximum.accumulate(np.where(np.r_[True, t.brk[:-1]], i, 0))[last]
+    flags = np.zeros((5, len(texts)), bool)
+    cells = np.zeros((0, len(ASKED)), np.int64)
+    if rows:
+        t = Tokens(toks)
+        last = np.flatnonzero(t.eof) - 1
+        i = np.arange(len(toks))
+        start = np.maximum.accumulate(np.where(np.r_[True, t.brk[:-1]], i, 0))[last]
+        named, shaped = t.labels(start, last)
+        word = _cell(t.word[last])
+        cell = {k: t.context(last, k) for k in ORDERS} | {"head": t.heads(start, last), "shaped": _cell(shaped), "named": _cell(named), "word": word, "dots": word,
+                                                        "spot": t.places(last, start, shaped), "place": t.places(last, start, named)}
+        cells = np.stack([cell[k] | TABLES[k] << CELL_BITS for k in ASKED], 1)
+        flags[:, rows] = t.stop[last], t.alpha[last], t.capital[last], marks, entries
+    of = np.zeros(len(texts) + 1, np.int32)
+    of[1:][rows] = len(ASKED)
+    keys = pa.ListArray.from_arrays(pa.array(np.cumsum(of, dtype=np.int32)), pa.array(cells.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(settled, pa.float64()), *map(pa.array, flags), keys], names=["settled", "stop", "alpha", "capital", "dots", "entry", "cells"])
+
+
+def ending_evidence(stop: np.ndarray, alpha: np.ndarray, capital: np.ndarray, dots: np.ndarray, entry: np.ndarray, counts: Counts) -> np.ndarray:
+    """Log likelihood ratio, cut against complete, of endings; own counts are left out."""
     own = (~dots).astype(np.int64)
-    p = np.full(len(rows), 0.5)
+    p = np.full(len(stop), 0.5)
     for k in ORDERS:  # shorter contexts are what longer ones start from
-        n, hit = counts.of(TABLES[k], t.context(last, k))
+        n, hit = counts.of(k)
         p = (np.maximum(hit - own, 0) + p) / (np.maximum(n - 1, 0) + 1)
-    named, shaped = t.labels(start, last)
 
-    def rate(table: str, c: np.ndarray, least: int) -> np.ndarray:
-        m, h = counts.of(TABLES[table], c)
+    def rate(table: str, least: int) -> np.ndarray:
+        m, h = counts.of(table)
         return np.where(m - own >= least, np.maximum(h - own, 0) / np.maximum(m - own, 1), np.nan)
 
     # How often lines that begin so do without a full stop: the most particular cell with enough lines counts.
-    q = np.full(len(rows), 0.5)
-    for table, c, least in (("head", t.heads(start, last), 3), ("shaped", _cell(shaped), 20), ("named", _cell(named), 20)):
-        r = rate(table, c, least)
+    q = np.full(len(stop), 0.5)
+    for table, least in (("head", 3), ("shaped", 20), ("named", 20)):
+        r = rate(table, least)
         q = np.where(np.isnan(r), q, r)
-    q = np.where(np.array(entries), np.maximum(q, 0.5), q)  # a list entry may do without a full stop, whatever it says
-    seen, _ = counts.of(TABLES["word"], _cell(t.word[last]))
+    q = np.where(entry, np.maximum(q, 0.5), q)  # a list entry may do without a full stop, whatever it says
+    seen, _ = counts.of("word")
     # A word that hardly occurs inside texts is a piece of one, unless other texts end with it in the same way.
-    n3, h3 = counts.of(TABLES[3], t.context(last, 3))
-    closing = ~t.capital[last] & (n3 - own >= 20) & (h3 - own >= 0.9 * (n3 - own))
-    known = np.where(t.alpha[last] & ~closing, np.where(seen < 1, 0.02, np.where(seen < 3, 0.3, 1.0)), 1.0)
-    dotted = counts.of(TABLES["dots"], _cell(t.word[last]))[0] - 1
+    n3, h3 = counts.of(3)
+    closing = ~capital & (n3 - own >= 20) & (h3 - own >= 0.9 * (n3 - own))
+    known = np.where(alpha & ~closing, np.where(seen < 1, 0.02, np.where(seen < 3, 0.3, 1.0)), 1.0)
+    dotted = counts.of("dots")[0] - 1
     # Lines of a kind that does without full stops (lists, tags, signatures) end at their own places.
-    place = np.zeros(len(rows))
-    for table, label in (("spot", shaped), ("place", named)):
-        r = rate(table, t.places(last, start, label), 3)
+    place = np.zeros(len(stop))
+    for table in ("spot", "place"):
+        r = rate(table, 3)
         place = np.where(np.isnan(r) | (q <= 0.9), place, r)
     p = np.where(place > 0.2, np.maximum(p, place), p)
     whole = np.clip(q, 0.01, 0.998) * np.clip(p, 0, 0.998) * known
     # A full stop ends a sentence unless sentences go on behind its context ("e.g.", ordinals).
-    (n3, h3), (n4, h4) = (counts.of(TABLES[k], t.context(last, k)) for k in (3, 4))
+    (n3, h3), (n4, h4) = counts.of(3), counts.of(4)
     n3, h3, n4, h4 = n3 - 1, h3 - 1, n4 - 1, h4 - 1
     open_stop = ((n3 >= 20) & (h3 <= 0.02 * n3)) | ((n4 >= 200) & (h4 <= 0.001 * n4))
-    whole = np.where(t.stop[last], np.where(open_stop, 0.01, 0.999), whole)
+    whole = np.where(stop, np.where(open_stop, 0.01, 0.999), whole)
     whole = np.where(dots, np.where((dotted >= 2) & (dotted > 0.02 * seen), 0.95, 0.01), whole)
-    out[rows] = np.clip(np.log((1 - whole) / np.maximum(whole, 1e-4)), -7, 7)
-    return out
+    return np.clip(np.log((1 - whole) / np.maximum(whole, 1e-4)), -7, 7)
+
+
+def _ask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, src, chars, bytes) of rows and what `ask_endings` gives for them."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        bare = []
+        for t in texts:  # the length of what stood before marks and line ends were set behind it
+            cut, _ = without_mark(t)
+            stripped = cut.rstrip("\r\n")
+            bare.append(stripped if stripped else cut)
+        asked = ask_endings(texts)
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id"), b.column("src"), pa.array([len(t) for t in bare], pa.int64()), pa.array([len(t.encode()) for t in bare], pa.int64()), *asked.columns], names=["doc_id", "src", "chars", "bytes", *asked.schema.names])
+
+
+def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, src, chars, bytes, evidence) from the flags of endings and their counts."""
+    for b in batches:
+        found = b.column("found")
+        sizes = np.asarray(found.value_lengths().fill_null(0))
+        pos, n, hit = (np.asarray(x) for x in found.flatten().flatten())
+        counts = Counts(b.num_rows, np.repeat(np.arange(b.num_rows), sizes), pos, n, hit)
+        flags = [b.column(c).to_numpy(zero_copy_only=False) for c in ("stop", "alpha", "capital", "dots", "entry")]
+        settled = b.column("settled").to_numpy(zero_copy_only=False)
+        evidence = np.where(np.isnan(settled), ending_evidence(*flags, counts), settled)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "src", "chars", "bytes")), pa.array(evidence)], names=["doc_id", "src", "chars", "bytes", "evidence"])
+
+
+def judge_endings(rows: DataFrame) -> DataFrame:
+    """(doc_id, src, chars, bytes, evidence) of every row of (doc_id, src, text), as a written table.
+
+    All counts stay in a written table; each text asks for a dozen of its keys. Frequent
+    keys stand on the left of that join, whose right side has one row per key.
+    """
+    counts = rows.select("text").mapInArrow(_count_batches, "cell long, hit long, n long").groupBy("cell").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    # A single count, words aside, is the asking text's own, which is left out.
+    counts = materialise(counts.filter((F.shiftright("cell", CELL_BITS) == TABLES["word"]) | (F.col("n") > 1)), "counts")
+    asked = rows.mapInArrow(_ask_batches, "doc_id long, src string, chars long, bytes long, settled double, stop boolean, alpha boolean, capital boolean, dots boolean, entry boolean, cells array<long>")
+    asked = materialise(asked.withColumn("row", F.monotonically_increasing_id()), "asked")
+    found = asked.select("row", F.posexplode("cells").alias("pos", "cell")).join(counts, "cell")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "hit")).alias("found"))
+    judged = asked.drop("cells").join(found, "row", "left").mapInArrow(_judge_batches, "doc_id long, src string, chars long, bytes long, evidence double")
+    judged = materialise(judged, "endings")
+    release(counts), release(asked)
+    return judged
 
 
 @dataclass(frozen=True)
@@ -324,31 +378,12 @@ def cut_texts(docs: DataFrame, doc_id: str, text: str, source: str, base_rate: f
 
     Null texts and ids give no row, blank texts are complete; rows with the same id are
     judged apart; an empty table gives an empty result; other columns are ignored. Whole
-    texts are counted; tasks and driver hold the counts that have a certain share of all
-    tokens, of which a table can have only so many (KEPT; KEPT_WORDS for words). A source with few
+    texts are counted, and no count is dropped, however large the table. A source with few
     rows has no limits and keeps the base rate.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), source_name(F.col(source)).alias("src"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    tokens = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // 5
-    counts = rows.select("text").mapInArrow(_count_batches, "cell long, hit long, n long").groupBy("cell").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
-    table = F.shiftright("cell", CELL_BITS)
-    enough = F.when(table == TABLES["word"], max(1, tokens // KEPT_WORDS)).when(table == TABLES["dots"], 2).otherwise(max(2, tokens // KEPT))
-    counts = counts.filter(F.col("n") >= enough).toArrow()
-    shared = spark.sparkContext.broadcast(Counts(*(counts.column(c).to_numpy() for c in ("cell", "hit", "n"))))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            bare = []
-            for t in texts:  # the length of what stood before marks and line ends were set behind it
-                cut, _ = without_mark(t)
-                stripped = cut.rstrip("\r\n")
-                bare.append(stripped if stripped else cut)
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("src"), pa.array([len(t) for t in bare], pa.int64()), pa.array([len(t.encode()) for t in bare], pa.int64()), pa.array(ending_evidence(texts, shared.value))], names=["doc_id", "src", "chars", "bytes", "evidence"])
-
-    judged = materialise(rows.mapInArrow(judge, "doc_id long, src string, chars long, bytes long, evidence double"), "endings")
+    judged = judge_endings(rows)
     limits: dict[str, dict[tuple[str, int], int]] = {}
     for r in candidate_limits(judged).collect():
         limits.setdefault(r.src, {})[r.kind, r.len] = r.n

@@ -64,3 +64,15 @@ def test_marks():
 
 def test_empty(spark):
     assert cut_texts(spark.createDataFrame([], "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 0
+
+
+def test_rare_words_and_contexts_count_on_large_input(spark):
+    from pyspark.sql import functions as F
+
+    rows, _ = corpus(1500)
+    rows += [(8000 + i, "We met Quorvabel, Tamsiwick and Odrenhal there. Everyone knows Quorvabel, Tamsiwick and Odrenhal, and we wrote to Quorvabel.\n\nCheers,\nQuorvabel", "free", "") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, src string").select("doc_id", "text", "source")
+    blank = spark.range(64).select((F.col("id") + 10_000).alias("doc_id"), F.expr("repeat(' ', 1000000)").alias("text"), F.lit("blank").alias("source"))
+    small, large = ({r.doc_id: r.evidence for r in cut_texts(x, "doc_id", "text", "source").collect()} for x in (df, df.unionByName(blank)))
+    assert {i: e for i, e in large.items() if i < 10_000} == pytest.approx(small)
+    assert small[8000] < 0 and large[8000] < 0
