@@ -559,7 +559,7 @@ _STALE = """, st AS (SELECT DISTINCT trim(target_memory_id) AS doc FROM deletion
     greatest({AS_OF} - created_at_ms, 0) / 86400000 AS age, CASE kind WHEN 'Conversational' THEN 30.0 WHEN 'Lesson' THEN 90.0 WHEN 'Fact' THEN 180.0 WHEN 'SessionSummary' THEN 14.0 END::DOUBLE AS half,
     CASE kind WHEN 'Conversational' THEN 90.0 WHEN 'Lesson' THEN 365.0 WHEN 'Fact' THEN 730.0 WHEN 'SessionSummary' THEN 60.0 END::DOUBLE AS ttl FROM {M})) USING (doc) LEFT JOIN st USING (doc) WHERE decay IS NOT NULL)) WHERE place <= 10""")
 def hybrid_search(spark, d):
-    """Lexical score, time decay by kind, and length support blended per question; deleted memories are faded."""
+    """Lexical score, time decay by kind, and length support blended per question over the 100 best BM25 rows; deleted memories are faded. No vector or card lane."""
     hits = _bm25(spark, d, 100).drop("rank").withColumn("mx", F.max("score").over(Window.partitionBy("query")))
     m = memories(spark, d).select(F.col("memory_id").alias("doc"), F.size(text.similarity_tokens(F.col("content"))).alias("n"), scoring.decay_with_policy(F.lit(1.0), F.col("created_at_ms"), F.col("kind"), AS_OF).alias("decay"))
     gone = _seeds(spark, d).select(F.col("node").alias("doc"), F.lit(0.7).alias("fade"))
