@@ -15,6 +15,7 @@ from memspark.operators.lineage import materialise
 SAMPLE = 32768  # rows the index is fitted on, at most
 MAX_LISTS = 2048
 LIST_ROWS = 200  # rows of a list aimed at, until MAX_LISTS is reached
+PROBED_OF = 500  # lists up to which a number of probes is kept; beyond, probes grow with the lists
 GROUP_ROWS = 12000  # rows of a group of neighbouring lists aimed at
 SLICE_ROWS = 48000  # a group with more rows is held by several tasks
 STRICT = 2.1  # the larger, the fewer true neighbours an early test abandons
@@ -70,6 +71,11 @@ def fit_index(sample: np.ndarray, n_rows: int, seed: int = 7) -> ListIndex:
     return ListIndex(rotation, centres, group, np.maximum(1, np.ceil(rows / SLICE_ROWS)).astype(np.int64))
 
 
+def probes_of(probes: int, lists: int) -> int:
+    """Lists a query asks: at least `probes`, and no smaller share of the lists than `probes` of PROBED_OF."""
+    return min(lists, max(probes, -(-probes * lists // PROBED_OF)))
+
+
 def _vectors(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     x = np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
@@ -83,7 +89,7 @@ def _send(index: ListIndex, dim: int, probes: int):
     """Rows for each (group, slice): `list` is the row's own list there (-1: it is only a query there), `probes` the lists it asks there."""
     starts = np.concatenate([[0], np.cumsum(index.slices)])
     k = len(index.centres)
-    probes = min(probes, k)
+    probes = probes_of(probes, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +215,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10
 
     Inverted lists: centres are fitted on a sample of at most SAMPLE rows; rows of
     neighbouring lists share a group, and a query is sent once to each group that holds one
-    of its `probes` nearest lists. A group with more rows than SLICE_ROWS is cut into
+    of its nearest lists: `probes` of them, more beyond PROBED_OF lists. A group with more rows than SLICE_ROWS is cut into
     slices. Within each probed list candidates are abandoned by `scan_lists`.
     """
     spark = df.sparkSession
