@@ -28,12 +28,12 @@ def current_cards(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every attribute of `memory_cards`."""
     cards = materialise(current_cards(spark, d, "parent_card_id", "entity_id", "subject", "predicate", "object", "card_type", "is_inference", "created_at_ms"), "cards")
-    depth = hierarchy(cards, "card_id", "parent_card_id", with_path=False).select(F.col("node").alias("card_id"), "depth")
     counted = F.col("card_type").isin("fact", "preference", "decision") & (F.col("is_inference") == 0) & F.col("predicate").isNotNull()
-    cards = cards.filter(counted).join(depth, "card_id")
+    links = cards.select(F.col("card_id").alias("row"), F.col("parent_card_id").alias("up"))
+    cards = cards.filter(counted)
     predicate = F.trim(F.translate(F.lower("predicate"), "_-", "  "))
     value = F.trim(F.regexp_replace(F.lower("object"), "\\s+", " "))
-    out = attribute_history(cards, [F.col("entity_id"), clean_id("subject"), predicate], value, "created_at_ms", "card_id", ["depth"])
+    out = attribute_history(cards, [F.col("entity_id"), clean_id("subject"), predicate], value, "created_at_ms", "card_id", [], links)
     return out.select("card_id", "valid_from_ms", "valid_to_ms")
 
 
@@ -133,7 +133,8 @@ FROM y JOIN (VALUES {_UNIT_ROWS}) u(quantity, name, scale, offs) ON y.quantity =
     "p2_found": f"""WITH RECURSIVE {_CARDS},
 n AS (SELECT card_id, entity_id, subject, trim(translate(lower(predicate), '_-', '  ')) AS predicate, trim(regexp_replace(lower(object), '\\s+', ' ', 'g')) AS val, created_at_ms AS t, depth
     FROM one JOIN tree USING (card_id) WHERE card_type IN ('fact', 'preference', 'decision') AND is_inference = 0 AND predicate IS NOT NULL AND object IS NOT NULL AND created_at_ms IS NOT NULL),
-s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY entity_id, subject, predicate, t ORDER BY depth DESC, card_id DESC) = 1),
+near AS (SELECT b.card_id AS parent_id FROM n a JOIN up ON up.card_id = a.card_id JOIN n b ON b.card_id = up.parent_id AND b.t = a.t AND b.predicate = a.predicate AND b.subject IS NOT DISTINCT FROM a.subject AND b.entity_id IS NOT DISTINCT FROM a.entity_id),
+s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY entity_id, subject, predicate, t ORDER BY depth DESC, depth < 0 AND card_id IN (SELECT parent_id FROM near), card_id DESC) = 1),
 v AS (SELECT *, lag(val) OVER (PARTITION BY entity_id, subject, predicate ORDER BY t) AS before FROM s)
 SELECT card_id, t AS valid_from_ms, coalesce(lead(t) OVER (PARTITION BY entity_id, subject, predicate ORDER BY t), 0) AS valid_to_ms FROM v WHERE before IS DISTINCT FROM val""",
     "p4_found": f"WITH RECURSIVE {_CARDS} SELECT card_id, root_id, depth FROM tree",
