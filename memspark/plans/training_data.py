@@ -74,8 +74,8 @@ def _references(spark: SparkSession, d: str) -> OrphanState:
     names = table(spark, d, "entity_registry", "canonical_name").select(F.lit("name").alias("kind"), clean_id("canonical_name").alias("key"), F.lit(None).cast("long").alias("arrived_ms"))
     memories = table(spark, d, "memories", "memory_id", "created_at_ms").select(F.lit("memory").alias("kind"), clean_id("memory_id").alias("key"), F.col("created_at_ms").alias("arrived_ms"))
     gone = table(spark, d, "deletion_tombstones", "target_memory_id").select(F.lit("memory").alias("kind"), clean_id("target_memory_id").alias("key"))
-    state = OrphanState.empty(spark).advance(cards.unionByName(edges), names.unionByName(memories))
-    return state.advance(deleted=gone)
+    # Memories are there when references come; names arrive afterwards and resolve what waits, deletions reopen it.
+    return OrphanState.empty(spark).advance(cards.unionByName(edges), memories).advance(parents=names, deleted=gone)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

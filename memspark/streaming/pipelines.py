@@ -50,26 +50,29 @@ def supersession_changes(stream: DataFrame) -> DataFrame:
 def keep_orphans(stream: DataFrame, checkpoint: str, done: Callable[[OrphanState, int], None]) -> StreamingQuery:
     """Folds a stream of changes into an `OrphanState` batch by batch.
 
-    Rows have `change` (ref, parent or gone) and the columns of `OrphanState.advance`. `done`
-    gets the state after each batch, to store it or to report its snapshot.
+    Rows have `change` (ref, parent or gone) and the columns of `OrphanState.advance`. The
+    state lies below the checkpoint folder, so a stream that is started again goes on with
+    it; stream batch b is batch b + 1 of the state, and one that is replayed overwrites
+    itself. `done` gets the state after each batch, to report its snapshot.
     """
-    held: dict[str, OrphanState] = {}
 
     def fold(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         of = lambda c: batch.filter(F.col("change") == c)
-        held["state"] = held.get("state", OrphanState.empty(spark)).advance(of("ref"), of("parent"), of("gone"))
-        done(held["state"], number)
+        done(OrphanState(spark, f"{checkpoint}/state", number).advance(of("ref"), of("parent"), of("gone")), number)
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, keeping each batch's rows as Parquet, and read them back."""
+    """Run a stream over what is there now, keeping each batch's rows as Parquet, and read them back.
+
+    Every batch has its own folder, which a replay overwrites; in complete mode there is one.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={0 if mode == 'complete' else number}")
 
     q = df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")

@@ -32,3 +32,15 @@ def test_arrival_resolves_and_deletion_reopens(spark, rows):
     s = s.advance(deleted=spark.createDataFrame([("m", "k")], "kind string, key string"))
     assert rows(s.orphans()) == [("t", "r", "f", "deleted")]
     assert OrphanState.empty(spark).advance().orphans().count() == 0
+
+
+def test_many_batches_stay_small(spark, rows):
+    """Each batch writes only its own keys; files are merged now and then; a replayed batch changes nothing."""
+    s = OrphanState.empty(spark)
+    for i in range(18):
+        s = s.advance(refs=spark.createDataFrame([("t", f"r{i}", "f", "m", f"k{i % 5}", 10)], REF_SCHEMA), parents=spark.createDataFrame([("m", f"k{i - 9}", 1)], "kind string, key string, arrived_ms long"))
+    assert rows(s.orphans()) == [] and s.references.count() == 18
+    assert len(s._files("refs")) == 3 and s._files("refs")[0].endswith("upto-16")
+    replay = OrphanState(spark, s.root, 17).advance(refs=spark.createDataFrame([("t", "r17", "f", "m", "zz", 10)], REF_SCHEMA))
+    assert rows(replay.orphans()) == [("t", "r17", "f", "missing")]
+    assert OrphanState.open(spark, s.root).batch == 18 and OrphanState.open(spark, s.root + "/none").batch == 0

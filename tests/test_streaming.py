@@ -36,6 +36,13 @@ def test_stream_of_references(spark, tmp_path):
         seen.append((number, state.orphans().count()))
         last[:] = [state]
 
+    feed_all = sorted((tmp_path / "in").glob("*.parquet"))
+    later = tmp_path / "later"
+    later.mkdir()
+    feed_all[2].rename(later / "2.parquet")
     pipelines.keep_orphans(s, str(tmp_path / "log"), done).awaitTermination()
-    assert len(seen) == 3
+    assert seen == [(0, 2), (1, 0)]
+    (later / "2.parquet").rename(tmp_path / "in" / "2.parquet")
+    pipelines.keep_orphans(s, str(tmp_path / "log"), done).awaitTermination()  # started again: the state is read back
+    assert seen[2:] == [(2, 1)]
     assert [tuple(r) for r in last[0].orphans().collect()] == [("t", "r2", "f", "deleted")]
