@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Unit names of each quantity, with factor and offset to its common unit
@@ -31,9 +31,10 @@ UNITS: dict[str, list[tuple[tuple[str, ...], float, float]]] = {
 MULTIPLIERS = {"hundred": 100.0, "thousand": 1000.0, "million": 1000000.0}
 
 
-def _units_map() -> Column:
-    pairs = [(F.lit(f"{q}:{n}"), F.struct(F.lit(s).alias("scale"), F.lit(o).alias("offset"))) for q, rows in UNITS.items() for names, s, o in rows for n in names]
-    return F.create_map(*itertools.chain.from_iterable(pairs))
+def unit_table(spark: SparkSession) -> DataFrame:
+    """(unit_quantity, unit_name, scale, offset): `UNITS` as rows, about a hundred of them whatever the data."""
+    rows = [(q, n, float(s), float(o)) for q, units in UNITS.items() for names, s, o in units for n in names]
+    return spark.createDataFrame(rows, "unit_quantity string, unit_name string, scale double, offset double")
 
 
 def unit_words(text: Column) -> Column:
@@ -43,22 +44,23 @@ def unit_words(text: Column) -> Column:
     return F.filter(F.split(F.trim(t), "\\s+"), lambda w: w != "")
 
 
-def declared_unit(quantity: Column, unit: Column, label: Column) -> Column:
-    """Struct (scale, offset, multiplier) of the unit a reading declares, else null.
+def declared_unit(unit: Column, label: Column) -> Column:
+    """Struct (name, multiplier) of the unit a reading declares.
 
     The unit's text counts if it is not blank; otherwise the last word of the label, if it
     has at least two words. "in" in front of another unit is dropped, a number word in
-    front multiplies.
+    front multiplies; the words left are one name, whatever their number.
     """
     blank = F.coalesce(F.trim(unit), F.lit("")) == ""
     last = F.regexp_extract(F.trim(label), "[\\s_]([^\\s_]+)$", 1)
-    w = unit_words(F.when(blank, last).otherwise(unit))
-    w = F.when((F.size(w) > 1) & (F.element_at(w, 1) == "in"), F.slice(w, 2, 9)).otherwise(w)
-    mult = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MULTIPLIERS.items()))
-    many = F.when(F.size(w) > 1, F.try_element_at(mult, F.try_element_at(w, F.lit(1))))
-    name = F.when(many.isNotNull(), F.array_join(F.slice(w, 2, 9), "")).otherwise(F.array_join(w, ""))
-    found = F.try_element_at(_units_map(), F.concat(quantity, F.lit(":"), name))
-    return F.when(found.isNotNull(), F.struct(found["scale"].alias("scale"), found["offset"].alias("offset"), F.coalesce(many, F.lit(1.0)).alias("multiplier")))
+    name = F.array_join(unit_words(F.when(blank, last).otherwise(unit)), " ")
+    name = F.regexp_replace(name, "^in (?=.)", "")
+    word = F.regexp_extract(name, f"^({'|'.join(MULTIPLIERS)}) .", 1)
+    many = F.lit(1.0)
+    for w, m in MULTIPLIERS.items():
+        many = F.when(word == w, m).otherwise(many)
+    name = F.translate(F.regexp_replace(name, f"^({'|'.join(MULTIPLIERS)}) (?=.)", ""), " ", "")
+    return F.struct(name.alias("name"), many.alias("multiplier"))
 
 
 def solve_units(df: DataFrame, identity: dict[str, int], candidates: dict[str, list[tuple[str, float]]], tolerance: float = 0.02) -> DataFrame:
@@ -104,22 +106,18 @@ def common_readings(metrics: DataFrame) -> DataFrame:
     """(content_hash, quantity, common_value, common_int) of readings with a value and a known unit.
 
     A reading stands alone: no second column of it is tied to its value by a physical
-    identity, so the identity used is the trivial one, value in common units = value times
-    the declared unit's scale. The unit is found by least log residual among the
-    quantity's units against the scale declared in `unit`, or, if that is blank, in the
-    label, plus the difference of their zero points; a residual above 0 means no known unit. Rows with the same content_hash are one
-    (the least); a null hash, a null or NaN value and labels of other quantities give no row.
-    A common value beyond the range of bigint has a null common_int.
+    identity, so `solve_units` has nothing to solve and the unit is read where it is
+    declared, in `unit` or, if that is blank, in the label, and looked up. Rows with the
+    same content_hash are one (the least); a null hash, a null or NaN value and labels of
+    other quantities give no row. A common value beyond the range of bigint has a null
+    common_int.
     """
     one = metrics.select(F.trim("content_hash").alias("content_hash"), "label", "unit", "value").filter("content_hash is not null and content_hash <> ''")
     one = one.groupBy("content_hash").agg(F.min(F.struct("label", "unit", "value")).alias("r")).select("content_hash", "r.label", "r.unit", "r.value")
-    quantity = F.element_at(F.split(F.lower(F.trim("label")), "[\\s_]+"), 1)
-    one = one.withColumn("quantity", quantity).filter(F.col("quantity").isin(*UNITS) & F.col("value").isNotNull() & ~F.isnan("value"))
-    one = one.withColumn("declared", declared_unit(F.col("quantity"), F.col("unit"), F.col("label")))
-    scales = F.create_map(*itertools.chain.from_iterable((F.lit(q), F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(o).alias("offset")) for _, s, o in rows])) for q, rows in UNITS.items()))
-    fits = F.transform(scales[F.col("quantity")], lambda u: F.struct((F.abs(F.log(u["scale"] / F.col("declared.scale"))) + F.abs(u["offset"] - F.col("declared.offset"))).alias("residual"), u["scale"].alias("scale"), u["offset"].alias("offset")))
-    one = one.filter("declared is not null").withColumn("fit", F.array_min(fits)).filter(F.col("fit.residual") < 1e-9)
-    value = F.col("value") * F.col("declared.multiplier")
-    common = F.when(F.col("quantity") == "temperature", value * F.col("fit.scale") + F.col("fit.offset")).otherwise(value * F.col("fit.scale"))
-    return one.select("content_hash", "quantity", common.alias("common_value")).withColumn(
-        "common_int", F.round("common_value").try_cast("long"))
+    one = one.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    one = one.withColumn("quantity", F.lower(F.regexp_extract(F.trim("label"), "^([^\\s_]+)", 1))).filter(F.col("quantity").isin(*UNITS))
+    one = one.withColumn("declared", declared_unit(F.col("unit"), F.col("label")))
+    known = F.broadcast(unit_table(metrics.sparkSession))
+    one = one.join(known, (F.col("quantity") == F.col("unit_quantity")) & (F.col("declared.name") == F.col("unit_name")))
+    common = F.col("value") * F.col("declared.multiplier") * F.col("scale") + F.col("offset")
+    return one.select("content_hash", "quantity", common.alias("common_value")).withColumn("common_int", F.round("common_value").try_cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from memspark.operators.history import attribute_history
 from memspark.operators.lineage import materialise
 from memspark.operators.references import OrphanState
 from memspark.operators.rows import clean_id, epoch_ms, latest, one_per_key
-from memspark.operators.units import MULTIPLIERS, UNITS, common_readings
+from memspark.operators.units import MULTIPLIERS, UNITS, common_readings, solve_units
 from memspark.sources.tables import table
 
 # Edge types whose ends are names; the other types' ends are memory ids.
@@ -93,7 +95,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return common_readings(table(spark, d, "metrics", "content_hash", "label", "unit", "value")).select("content_hash", "quantity", "common_int")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_paths, p4_descendants, p5_found, p5_counts, p7_found)}
+# Units in which the derived loads below are told: names and factors to kilogram, kilogram per litre and litre.
+LOAD_UNITS = {"mass": [("kg", 1.0), ("lb", 0.453592), ("cwt", 50.802345)], "density": [("kg/l", 1.0), ("lb/gal", 0.119826)], "volume": [("l", 1.0), ("gal", 3.785412), ("ft3", 28.316847)]}
+
+
+def _loads(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as loads of tied columns: volume from the quantity, density from the part, mass their product.
+
+    Each column of a line is told in a unit of LOAD_UNITS picked by its keys; one line in
+    eleven has a mass that fits no units.
+    """
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    litres, dense = F.col("l_quantity").cast("double") * 7, 0.6 + (F.col("l_partkey") % 97) / 61.0
+    pick = lambda c, k: F.element_at(F.array(*[F.lit(s) for _, s in LOAD_UNITS[c]]), (k % len(LOAD_UNITS[c]) + 1).cast("int"))
+    odd = F.when(F.col("l_orderkey") % 11 == 0, 1.7).otherwise(1.0)
+    return rows.select("l_orderkey", "l_linenumber", (litres * dense * odd / pick("mass", F.col("l_orderkey"))).alias("mass"),
+                       (dense / pick("density", F.col("l_partkey"))).alias("density"), (litres / pick("volume", F.col("l_linenumber"))).alias("volume"))
+
+
+def p7_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Units of loads found from mass = density * volume; where several combinations fit, all but the status is null."""
+    out = solve_units(_loads(spark, d), {"mass": 1, "density": -1, "volume": -1}, LOAD_UNITS, tolerance=0.001)
+    sure = F.col("unit_status") == "solved"
+    return out.select("l_orderkey", "l_linenumber", "unit_status", *[F.when(sure, F.col(f"{c}_unit")).alias(f"{c}_unit") for c in LOAD_UNITS], F.when(sure, F.round("mass_common", 3)).alias("mass_kg"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_paths, p4_descendants, p5_found, p5_counts, p7_found, p7_identity)}
 
 _CARDS = """
 one AS (SELECT * FROM (SELECT trim(card_id) AS card_id, nullif(trim(parent_card_id), '') AS parent_card_id, nullif(trim(entity_id), '') AS entity_id,
@@ -122,7 +149,15 @@ judged AS (SELECT r.*, CASE WHEN kind = 'name' THEN CASE WHEN n.k IS NULL THEN '
 """
 _UNIT_ROWS = ", ".join(f"('{q}', '{n}', {s}::DOUBLE, {o}::DOUBLE)" for q, rows in UNITS.items() for names, s, o in rows for n in names)
 _TIMES = " ".join(f"WHEN '{w}' THEN {m}" for w, m in MULTIPLIERS.items())
+_COMBOS = ", ".join(f"({i}, '{m}', {a}::DOUBLE, '{n}', {b}::DOUBLE, '{v}', {c}::DOUBLE)" for i, ((m, a), (n, b), (v, c)) in enumerate(itertools.product(*LOAD_UNITS.values())))
+_PICK = {c: "[" + ", ".join(f"{s}::DOUBLE" for _, s in u) + "]" for c, u in LOAD_UNITS.items()}
 SQL = {
+    "p7_identity": f"""WITH x AS (SELECT row_number() OVER () AS line, l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE * 7 AS litres, 0.6 + (l_partkey % 97) / 61.0::DOUBLE AS dense, CASE WHEN l_orderkey % 11 = 0 THEN 1.7 ELSE 1.0 END::DOUBLE AS odd FROM lineitem),
+y AS (SELECT line, l_orderkey, l_linenumber, litres * dense * odd / ({_PICK['mass']})[l_orderkey % 3 + 1] AS mass, dense / ({_PICK['density']})[l_partkey % 2 + 1] AS density, litres / ({_PICK['volume']})[l_linenumber % 3 + 1] AS volume FROM x),
+f AS (SELECT y.*, c.*, abs(ln(mass) - ln(density) - ln(volume) + ln(a) - ln(b) - ln(v)) AS r FROM y CROSS JOIN (VALUES {_COMBOS}) c(i, mu, a, du, b, vu, v)),
+g AS (SELECT *, min(r) OVER w AS best, row_number() OVER (PARTITION BY line ORDER BY r, i) AS k FROM f WINDOW w AS (PARTITION BY line)),
+s AS (SELECT line, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, CASE WHEN any_value(best) > 0.001 THEN 'unsolved' WHEN count(*) FILTER (r <= best + 0.001) > 1 THEN 'ambiguous' ELSE 'solved' END AS unit_status, max(mu) FILTER (k = 1) AS mu, max(du) FILTER (k = 1) AS du, max(vu) FILTER (k = 1) AS vu, max(mass * a) FILTER (k = 1) AS kg FROM g GROUP BY line)
+SELECT l_orderkey, l_linenumber, unit_status, CASE unit_status WHEN 'solved' THEN mu END AS mass_unit, CASE unit_status WHEN 'solved' THEN du END AS density_unit, CASE unit_status WHEN 'solved' THEN vu END AS volume_unit, CASE unit_status WHEN 'solved' THEN round(kg, 3) END AS mass_kg FROM s""",
     "p7_found": f"""WITH one AS (SELECT trim(content_hash) AS content_hash, min(label) AS label, arg_min(coalesce(unit, ''), label) AS unit, arg_min(value, label) AS value FROM metrics WHERE trim(content_hash) <> '' GROUP BY 1),
 q AS (SELECT *, regexp_extract(lower(trim(label)), '^([^\\s_]+)', 1) AS quantity, CASE WHEN trim(unit) = '' THEN regexp_extract(trim(label), '[\\s_]([^\\s_]+)$', 1) ELSE unit END AS t FROM one WHERE value IS NOT NULL AND NOT isnan(value)),
 w AS (SELECT *, list_filter(regexp_split_to_array(trim(regexp_replace(lower(translate(t, '()[]{{}}.,;°_~', '            ')), '\\b(deg(ree|rees)?|approx(imately)?)\\b', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w0 FROM q),
