@@ -63,6 +63,42 @@ def test_overlapping_fragments_are_one_contig(spark):
     assert (r.reason, r.n_contigs) == ("gap", 2)
 
 
+def exports(spark, *parts):
+    """Rows of fragments delivered one after the other: (session, first index or None, messages); user and assistant by turns of the letter."""
+    rows, at = [], 0
+    for session, first, said in parts:
+        rows += [(session, None if first is None else first + i, ["user", "ai"]["abcdefghij".index(x) % 2], x) for i, x in enumerate(said)]
+        rows.append((session, None, "user", None))  # blank rows are absent
+    return frame(spark, rows)
+
+
+def test_overlap_places_fragments_without_indexes(spark):
+    """Only suffix-prefix matches of message hashes tell where fragments without indexes belong."""
+    df = exports(spark, ("s", 4, "ef"), ("s", None, "cdef"), ("s", 9, "j"), ("s", None, "abcd"), ("s", 6, "ghij"))
+    assert (r := conversation_report(df, *ARGS).first()).reason is None and (r.n_turns, r.n_rows, r.n_contigs) == (10, 15, 1)
+    assert sorted((r.turn_no, r.text) for r in conversations(df, *ARGS).collect()) == list(enumerate("abcdefghij"))
+    # no overlap: nothing tells the place of "ab"; two places for "ab": neither does
+    assert conversation_report(exports(spark, ("s", 2, "cd"), ("s", None, "ab")), *ARGS).first().reason == "unplaced"
+    assert conversation_report(exports(spark, ("s", 0, "abab"), ("s", None, "ab"), ("s", 4, "ef")), *ARGS).first().reason == "unplaced"
+    # an overlap whose other end disagrees with what is there: two ways on
+    assert conversation_report(exports(spark, ("s", 0, "abcdef"), ("s", None, "abcj"), ("s", 6, "gh")), *ARGS).first().reason == "conflict"
+
+
+def test_sessions_without_any_index(spark):
+    rows = [("n", None, ["user", "ai"]["abcdefgh".index(x) % 2], x) for x in "efgh"]
+    assert conversation_report(frame(spark, rows), *ARGS).first().reason is None
+    assert sorted((r.turn_no, r.text) for r in conversations(frame(spark, rows), *ARGS).collect()) == list(enumerate("efgh"))
+    rows = [("n", None, ["user", "ai"]["abcdefgh".index(x) % 2], x, part) for part in ("efgh", "cdef", "abcd", "efgh") for x in part]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "session_id string, turn_index int, speaker string, raw_text string, part string, at long")
+    assert sorted((r.turn_no, r.text) for r in conversations(df, *ARGS, export="part").collect()) == list(enumerate("abcdefgh"))
+
+
+def test_delivered_three_times(spark):
+    """A message that begins one fragment and stands inside two others has one way in."""
+    df = exports(spark, ("s", 0, "abcd"), ("s", 2, "cd"), ("s", 0, "abcd"), ("s", 1, "bcd"))
+    assert conversation_report(df, *ARGS).first().reason is None
+
+
 def test_empty(spark):
     df = frame(spark, [("s", 0, "user", "x")]).limit(0)
     assert conversation_report(df, *ARGS).count() == 0 and conversations(df, *ARGS).count() == 0
