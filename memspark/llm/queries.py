@@ -123,15 +123,21 @@ per AS (SELECT session_id, count(*) AS n, count(DISTINCT i) AS ni, min(i) AS i0,
 whole AS (SELECT session_id, i0 FROM per WHERE n = ni AND i0 IN (0, 1) AND i1 - i0 + 1 = n AND unknown = 0 AND nu > 0 AND na > 0 AND r0 = 'user'
     AND session_id NOT IN (SELECT session_id FROM talk WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'))
 """
+_BAGS = r"""WITH RECURSIVE m AS (SELECT trim(memory_id) AS id, min(content) AS t FROM memories WHERE trim(memory_id) <> '' AND content IS NOT NULL GROUP BY 1), w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM m),
+k AS (SELECT id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 24), x AS (SELECT id, n, word, row_number() OVER (PARTITION BY id, word) AS k FROM k),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS common, greatest(any_value(a.n), any_value(b.n)) AS longer FROM x a JOIN x b ON a.word = b.word AND a.k = b.k AND a.id < b.id GROUP BY 1, 2),
+near AS (SELECT a, b FROM p WHERE common >= 0.8 * longer - 1e-9)
+"""
 _PAIR = "least(a, b) AS {0}_a, greatest(a, b) AS {0}_b"
 SQL = {
     "p3_found": """WITH o AS (SELECT vector_id, any_value(embedding) AS e FROM agent_observations WHERE vector_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1), s AS (SELECT a.vector_id AS a, b.vector_id AS b, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM o a JOIN o b ON a.vector_id <> b.vector_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rank FROM s) SELECT DISTINCT """ + _PAIR.format("vector_id") + """ FROM r WHERE rank <= 10 AND c >= 0.9""",
-    "p6_found": r"""WITH m AS (SELECT trim(memory_id) AS id, min(content) AS t FROM memories WHERE trim(memory_id) <> '' AND content IS NOT NULL GROUP BY 1), w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM m),
-k AS (SELECT id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 24), x AS (SELECT id, n, word, row_number() OVER (PARTITION BY id, word) AS k FROM k),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS common, greatest(any_value(a.n), any_value(b.n)) AS longer FROM x a JOIN x b ON a.word = b.word AND a.k = b.k AND a.id < b.id GROUP BY 1, 2)
-SELECT a AS memory_id_a, b AS memory_id_b FROM p WHERE common >= 0.8 * longer - 1e-9""",
+    "p6_groups": _BAGS + r""", c AS (SELECT id, list_sort(w) AS bag, min(id) OVER (PARTITION BY list_sort(w)) AS class_id FROM w WHERE len(w) >= 24),
+l AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM near JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.class_id <> y.class_id), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT a AS class_id, min(b) AS group_id FROM r GROUP BY 1), n AS (SELECT a AS class_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT id AS memory_id, class_id, coalesce(group_id, class_id) AS group_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN g USING (class_id) LEFT JOIN n USING (class_id)""",
+    "p6_found": _BAGS + "SELECT a AS memory_id_a, b AS memory_id_b FROM near",
     "p1_found": _TURNS + "SELECT DISTINCT session_id FROM raw WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM whole)",
     "p1_conversations": _TURNS + "SELECT session_id, i - i0 AS turn_no, role, t AS text FROM turns JOIN whole USING (session_id)",
 }

@@ -58,7 +58,9 @@ def check(spark):
     assert pairs_of(classes, pairs) == brute(rows)
 
 
-def test_no_pair_is_lost(spark):
+def test_no_pair_is_lost(spark, monkeypatch):
+    check(spark)
+    monkeypatch.setattr(nearcopies, "LEAF_PAIRS", 3)
     check(spark)
 
 
@@ -66,9 +68,12 @@ def test_hot_words_and_slices(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "HOT", 3)
     monkeypatch.setattr(nearcopies, "SLICE", 4)
     check(spark)
+    monkeypatch.setattr(nearcopies, "MAX_WORDS", 1)  # counts joined instead of sent
+    check(spark)
 
 
-def test_trie_against_all_pairs():
+def test_trie_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(nearcopies, "LEAF_PAIRS", 1)
     rng = np.random.default_rng(5)
     n = rng.integers(24, 60, 400)
     sk = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
@@ -78,12 +83,16 @@ def test_trie_against_all_pairs():
             sk[i + 1, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     key = rng.integers(0, 3, 400).repeat(1)
     key[1::2] = key[::2]
-    i, j = trie_join(key, np.full(400, 2, np.int8), n, sk, 0.8)
+    err = rng.integers(0, 6, 400)
+    err[1::2] = err[::2]
+    told = {}
+    i, j = trie_join(key, np.full(400, 2, np.int8), n, err, sk, 0.8, told)
+    assert told["pairs"] > told["at_nodes"] > 0 and told["at_nodes"] + told["at_rows"] > 0.9 * told["pairs"]
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     want = set()
     for a, b in itertools.combinations(range(400), 2):
         need = int(np.ceil(0.8 * max(n[a], n[b]) - 1e-9))
-        if key[a] == key[b] and min(n[a], n[b]) >= need and int(np.bitwise_count(sk[a] ^ sk[b]).sum()) <= n[a] + n[b] - 2 * need:
+        if key[a] == key[b] and min(n[a], n[b]) >= need and int(np.bitwise_count(sk[a] ^ sk[b]).sum()) <= n[a] + n[b] - 2 * need - err[a] - err[b] and int(np.bitwise_count(np.bitwise_xor.reduce(sk[a] ^ sk[b]))) <= n[a] + n[b] - 2 * need - err[a] - err[b]:
             want.add((a, b))
     assert got == want and want
 
