@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,37 @@ def newest_list(rows: DataFrame, owner: str, item: str, order: str, keep: int) -
     kept = last.withColumn("_r", rank).filter(F.col("_r") <= keep)
     items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col(item).alias("i")))), lambda x: x["i"])
     return kept.groupBy(owner).agg(items.alias("items"), F.count("*").alias("n"))
+
+
+def merge_lists(stored: DataFrame, new: DataFrame, keys: list[str], numbers: dict[str, Callable[[str], Column]], lists: list[str]) -> DataFrame:
+    """Rows of `new` merged into `stored` by key: numbers combined, lists appended without repeats, stored items first.
+
+    Both have one row per key, so a key has at most two rows here.
+    """
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    kept = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_new", F.col(c).alias("_x")))), lambda r: r["_x"]))).alias(c) for c in lists]
+    return both.groupBy(*keys).agg(*[f(c).alias(c) for c, f in numbers.items()], *kept)
+
+
+def marked_deleted(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """`rows` with `deleted`: whether their key is in `gone` (a column of the same name, one row per key); null keys never are."""
+    return rows.join(gone.select(key, F.lit(True).alias("_gone")), key, "left").withColumn("deleted", F.coalesce("_gone", F.lit(False))).drop("_gone")
+
+
+def tombstones_for(rows: DataFrame, key: str, now_ms: int) -> DataFrame:
+    """A tombstone for every deleted key: tombstone_id, target, timestamp_ms."""
+    return rows.select(F.concat(F.lit("tombstone::"), F.col(key), F.lit("::"), F.lit(now_ms)).alias("tombstone_id"), F.col(key).alias("target"), F.lit(now_ms).cast("long").alias("timestamp_ms"))
+
+
+def reset(spark: SparkSession, path: str, confirm: str) -> None:
+    """Overwrite the table at `path` by an empty one; only with the phrase "delete everything"."""
+    if confirm != "delete everything":
+        raise ValueError("the reset was not confirmed")
+    empty = spark.createDataFrame([], spark.read.parquet(path).schema)
+    empty.write.mode("overwrite").parquet(path)
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append") -> None:
+    """Write several tables of one batch below `root`, in the order given."""
+    for name, rows in tables.items():
+        rows.write.mode(mode).parquet(f"{root}/{name}")

@@ -98,3 +98,12 @@ def round_robin(items: DataFrame, group: str, item: str, score: str, limit: int)
     ranked = ranked.join(best, group).groupBy(item).agg(F.min(F.struct("_round", (-F.col("_best")).alias("_b"), group, score)).alias("_m"))
     ranked = ranked.select(item, f"_m.{group}", f"_m.{score}", "_m._round", "_m._b").orderBy("_round", "_b", group).limit(limit)
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_round", "_b", group))).select(item, group, score, "place")
+
+
+def write_vectors(rows: DataFrame, path: str, scope: str, buckets: int = 16) -> None:
+    """Store a vector table, in folders by a hash of its scope, so that a scoped search reads one of them."""
+    rows.withColumn("bucket", F.pmod(F.xxhash64(scope), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def load_vectors(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")

@@ -36,3 +36,10 @@ def stale_at(versions: DataFrame, fact_id: str, t: int | None = None) -> DataFra
     if t is None:
         return versions.filter("status = 'stale'").select(fact_id).distinct()
     return versions.filter((F.col("valid_to_ms") <= t) | (F.coalesce("valid_from_ms", F.lit(0)) > t)).select(fact_id).distinct()
+
+
+def status_edges(versions: DataFrame, fact_id: str) -> DataFrame:
+    """(source, target, edge_type): superseded_by from each stale fact to the one in force, and supersedes back."""
+    stale = versions.filter("status = 'stale'").select(F.col(fact_id).alias("a"), F.col("superseded_by").alias("b"))
+    there = stale.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("superseded_by").alias("edge_type"))
+    return there.unionByName(stale.select(F.col("b").alias("source"), F.col("a").alias("target"), F.lit("supersedes").alias("edge_type")))

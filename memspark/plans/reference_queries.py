@@ -21,18 +21,26 @@ AS_OF = 1_765_000_000_000
 LEXICAL, WHEN, WHO = ["lives", "works", "deadline"], ["march", "june"], ["mother", "team lead"]
 QUESTIONS = [("contract", ["contract", "studio", "september"]), ("audit", ["audit", "hosts", "cheerful"]), ("piano", ["piano", "nobody", "jetlag"]), ("ramen", ["ramen", "choir", "minutes"])]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registry():
+    """(queries by name, their SQL by name, decorator that adds a query and its SQL) of a module."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sqls: dict[str, str] = {}
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, sqls, query
+
+
+QUERIES, SQL, query = registry()
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -477,16 +485,11 @@ def edge_weights(spark, d):
 
 @query(f"SELECT card_id, card_type, created_at_ms FROM {C}")
 def upsert_last_wins(spark, d):
-    """The cards that were never changed, with the last rows of the others put in their place."""
+    """Cards as first stored, with the last rows of those that were written again put in their place; the others stay."""
     raw = table(spark, d, "memory_cards", "card_id", "card_type", "created_at_ms", "updated_at_ms").withColumn("card_id", clean_id("card_id")).filter("card_id is not null")
-    first = raw.groupBy("card_id").agg(F.min(F.struct("updated_at_ms", "created_at_ms", "card_type")).alias("r")).select("card_id", "r.card_type", "r.created_at_ms")
-    return changes.upsert(first, cards(spark, d).select("card_id", "card_type", "created_at_ms"), ["card_id"])
-
-
-@query(f"""SELECT canonical_name AS name, min(trim(entity_id)) AS entity_id FROM entity_registry WHERE trim(canonical_name) <> '' AND trim(entity_id) <> '' AND canonical_name = trim(canonical_name) GROUP BY 1""")
-def insert_if_absent(spark, d):
-    r = table(spark, d, "entity_registry", "canonical_name", "entity_id").filter("canonical_name = trim(canonical_name)").select(clean_id("canonical_name").alias("name"), clean_id("entity_id").alias("entity_id")).filter("name is not null and entity_id is not null")
-    return changes.insert_if_absent(r.limit(0), r, ["name"], ["entity_id"])
+    first = raw.groupBy("card_id").agg(F.min(F.struct("updated_at_ms", "created_at_ms", "card_type")).alias("r"), F.count("*").alias("n"))
+    again = first.filter("n > 1").select("card_id")
+    return changes.upsert(first.select("card_id", "r.card_type", "r.created_at_ms"), cards(spark, d).select("card_id", "card_type", "created_at_ms").join(again, "card_id", "left_semi"), ["card_id"])
 
 
 @query("""SELECT trim(memory_id) AS memory_id, count(*) AS n FROM memories WHERE trim(memory_id) <> '' AND regexp_replace(trim(memory_id), '::ct[0-9]*$', '') NOT IN (SELECT trim(target_memory_id) FROM deletion_tombstones WHERE trim(target_memory_id) <> '') GROUP BY 1""")

@@ -4,12 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from memspark.plans import reference_queries, training_data
 from tools_compare import canon
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = reference_queries.QUERIES | training_data.QUERIES
-ORACLE = reference_queries.SQL | training_data.SQL
+CORE = {k: q for m in E.CORE for k, q in m.QUERIES.items()}
+ORACLE = {k: s for m in E.CORE for k, s in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
