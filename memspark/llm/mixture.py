@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from memspark.operators.lineage import materialise
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's tokenizer splits text before merging bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_LEAVES = 100_000
@@ -20,8 +19,8 @@ PREFIX_ROWS = 4096  # rows of a hash bucket aimed at; a leaf's last bucket is or
 _encoders: dict[int, object] = {}
 
 
-def token_counts(docs: DataFrame, keep: list[str], text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """`keep` columns and n_tokens, the tokens of the whole text; null texts have 0."""
+def token_counts(docs: DataFrame, keep: list[str], text: str, tokenizer: str) -> DataFrame:
+    """`keep` columns and n_tokens, the tokens of the whole text; null texts have 0. `tokenizer` is a vocabulary file."""
     with open(tokenizer, "rb") as f:
         ranks = f.read()
 
@@ -50,6 +49,7 @@ class Node:
     """A node of the weight tree: a leaf has a capacity, an inner node children by name."""
 
     weight: float = 0.0
+    tokens: int = 0
     capacity: float = 0.0
     children: dict[str, Node] = field(default_factory=dict)
     budget: float = 0.0
@@ -83,22 +83,30 @@ class Node:
             c.fill(given[k])
 
 
-def plan_budgets(leaves: list[tuple[tuple[str, ...], int]], shares: dict[tuple[str, ...], float], repeats: dict[str, int], total: float | None = None) -> dict[tuple[str, ...], float]:
-    """Token budget of each leaf path.
+def plan_tree(leaves: list[tuple[tuple[str, ...], int]], shares: dict[tuple[str, ...], float], repeats: dict[str, int], total: float | None = None, temper: float = 1.0) -> Node:
+    """The weight tree with the token budget of each node.
 
     `leaves` are (path, available tokens); `shares` the weights of nodes by path prefix,
-    siblings without one weigh as many as their tokens; `repeats` caps how often the
-    records below a first-level node are used. Without `total` it is the largest at which
+    siblings without one weigh as many as their tokens to the power `temper` (below 1, small
+    siblings get more than their tokens' share, and run short first); `repeats` caps how often
+    the records below a first-level node are used. Without `total` it is the largest at which
     every first-level node meets its share. A node of weight 0 gets nothing.
     """
     root = Node()
     for path, tokens in leaves:
         node = root
         for depth in range(1, len(path) + 1):
-            known = shares.get(path[:depth])
-            node = node.children.setdefault(path[depth - 1], Node(weight=known or 0.0))
-            node.weight += tokens if known is None and path[:depth] not in shares else 0
+            node = node.children.setdefault(path[depth - 1], Node(weight=shares.get(path[:depth], 0.0)))
+            node.tokens += tokens
         node.capacity += tokens * repeats.get(path[0], 1)
+
+    def weigh(node: Node, path: tuple[str, ...]) -> None:
+        for k, c in node.children.items():
+            if (*path, k) not in shares:
+                c.weight = float(c.tokens) ** temper
+            weigh(c, (*path, k))
+
+    weigh(root, ())
     whole = sum(n.weight for n in root.children.values())
     if total is None:
         total = min((n.room() * whole / n.weight for n in root.children.values() if n.weight > 0), default=0.0)
@@ -106,6 +114,11 @@ def plan_budgets(leaves: list[tuple[tuple[str, ...], int]], shares: dict[tuple[s
         if n.weight <= 0:
             n.children, n.capacity = {}, 0.0
     root.fill(total)
+    return root
+
+
+def plan_budgets(leaves: list[tuple[tuple[str, ...], int]], shares: dict[tuple[str, ...], float], repeats: dict[str, int], total: float | None = None, temper: float = 1.0) -> dict[tuple[str, ...], float]:
+    """Token budget of each leaf path of `plan_tree`."""
     out: dict[tuple[str, ...], float] = {}
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
@@ -114,11 +127,42 @@ def plan_budgets(leaves: list[tuple[tuple[str, ...], int]], shares: dict[tuple[s
         for k, c in node.children.items():
             walk(c, (*path, k))
 
-    walk(root, ())
+    walk(plan_tree(leaves, shares, repeats, total, temper), ())
     return out
 
 
-def mixture(counted: DataFrame, record: str, levels: list[str], shares: dict[tuple[str, ...], float], repeats: dict[str, int], total: float | None = None, seed: int = 11) -> DataFrame:
+def leaf_tokens(counted: DataFrame, levels: list[str]) -> list[tuple[tuple[str, ...], int, int]]:
+    """(path, tokens, records) of every leaf, null names as ''; at most MAX_LEAVES of them are planned."""
+    named = counted.filter("n_tokens > 0").groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in levels])
+    found = named.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
+    if len(found) > MAX_LEAVES:
+        raise ValueError("too many leaves to plan on the driver")
+    return [(tuple(r[c] for c in levels), r.t, r.n) for r in found]
+
+
+def budget_report(counted: DataFrame, levels: list[str], shares: dict[tuple[str, ...], float], repeats: dict[str, int], total: float, temper: float = 1.0) -> DataFrame:
+    """(level, path, wanted, room, budget, short, taken_over) of every node of the tree for a stated total.
+
+    wanted: the node's part, by weight, of its parent's budget; room: what its records can
+    give under their cap; short: what it lacks; taken_over: what it got beyond its part
+    because siblings were short.
+    """
+    first = {p[0] for p in shares if shares[p] > 0}
+    leaves = [(p, t) for p, t, _ in leaf_tokens(counted, levels) if p[0] in first]
+    out: list[tuple] = []
+
+    def walk(node: Node, path: tuple[str, ...]) -> None:
+        whole = sum(c.weight for c in node.children.values())
+        for k, c in node.children.items():
+            wanted = (total if not path else node.budget) * (c.weight / whole if whole else 0.0)
+            out.append((len(path) + 1, " > ".join((*path, k)), wanted, float(c.room()), c.budget, max(0.0, wanted - c.budget), max(0.0, c.budget - wanted)))
+            walk(c, (*path, k))
+
+    walk(plan_tree(leaves, shares, repeats, total, temper), ())
+    return counted.sparkSession.createDataFrame(out, "level int, path string, wanted double, room double, budget double, short double, taken_over double")
+
+
+def mixture(counted: DataFrame, record: str, levels: list[str], shares: dict[tuple[str, ...], float], repeats: dict[str, int], total: float | None = None, temper: float = 1.0, seed: int = 11) -> DataFrame:
     """(record, levels..., n_tokens, n_uses): how often each record is drawn, 0 left out.
 
     `counted` has n_tokens per record. Leaves are the distinct values of `levels`, null as
@@ -133,18 +177,14 @@ def mixture(counted: DataFrame, record: str, levels: list[str], shares: dict[tup
     first = sorted({p[0] for p in shares if shares[p] > 0})
     rows = counted.select(record, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in levels], "n_tokens").filter(F.col(record).isNotNull() & (F.col("n_tokens") > 0) & F.col(levels[0]).isin(first))
     rows = materialise(rows, "counted")
-    stats = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    found = stats.limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError("too many leaves to plan on the driver")
-    budgets = plan_budgets([(tuple(r[c] for c in levels), r.t) for r in found], shares, repeats, total)
+    found = leaf_tokens(rows, levels)
+    budgets = plan_budgets([(p, t) for p, t, _ in found], shares, repeats, total, temper)
     leaves = []
-    for r in found:
-        path = tuple(r[c] for c in levels)
+    for path, tokens, n in found:
         b = budgets.get(path, 0.0)
-        whole = min(int(b // r.t), repeats.get(path[0], 1))
-        rest = b - whole * r.t if whole < repeats.get(path[0], 1) else 0.0
-        leaves.append((*path, whole, rest, max(1, r.n // PREFIX_ROWS)))
+        whole = min(int(b // tokens), repeats.get(path[0], 1))
+        rest = b - whole * tokens if whole < repeats.get(path[0], 1) else 0.0
+        leaves.append((*path, whole, rest, max(1, n // PREFIX_ROWS)))
     schema = ", ".join([f"{c} string" for c in levels] + ["whole int", "rest double", "buckets long"])
     plan = F.broadcast(spark.createDataFrame(leaves, schema))
     mark = F.xxhash64(F.lit(seed), F.col(record).cast("string"))

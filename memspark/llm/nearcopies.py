@@ -16,7 +16,8 @@ MAX_WORDS = 4_000_000  # repeated words whose counts (64 MB) are sent to tasks;
 HOT = 2048  # documents of a word above which its group is split by further words
 SLICE = 8192  # rows of a group above which it is split into slices
 BAND = 0.06  # lengths of one root differ by so much of their logarithm
-LEAF_PAIRS = 256  # node pairs with at most so many row pairs are walked on row by row
+LEAF_PAIRS = 4096  # node pairs with at most so many row pairs are walked on row by row
+DENSE_PAIRS = 400  # from so many on as a block
 STRIP = 65536  # row pairs looked at together
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 KEYS = "key long, big boolean, rid long, n int, err int, s0 long, s1 long, s2 long, s3 long"
@@ -205,6 +206,32 @@ def trie_join(key: np.ndarray, side: np.ndarray, n: np.ndarray, err: np.ndarray,
         a0, a1, b0, b1, twin = (np.concatenate([v[rest], np.array([c[i] for c in cut], v.dtype)]) for i, v in enumerate((a0, a1, b0, b1, twin)))
         size = (a1 - a0) * (b1 - b0)
     got_i, got_j, looked, folded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+
+    def walk_on(i: np.ndarray, j: np.ndarray) -> None:
+        """Row pairs whose folded sketches are within their budget: the whole sketch, 64 bits at a time."""
+        nonlocal folded
+        folded += len(i)
+        longer = np.maximum(need[i], need[j])
+        ok = (np.minimum(n[i], n[j]) >= longer) & ((side[i] == 2) | (side[i] != side[j]))
+        i, j, longer = i[ok], j[ok], longer[ok]
+        budget = n[i] + n[j] - 2 * longer - err[i] - err[j]
+        diff = np.zeros(len(i), np.int64)
+        for w in range(4):
+            diff += np.bitwise_count(sk[i, w] ^ sk[j, w])
+            ok = diff <= budget
+            i, j, diff, budget = i[ok], j[ok], diff[ok], budget[ok]
+        got_i.append(o[i]), got_j.append(o[j])
+
+    room, least = (n - err).astype(np.int32), (2 * need).astype(np.int32)
+    dense = size >= DENSE_PAIRS
+    for x0, x1, y0, y1, t in zip(*(v[dense].tolist() for v in (a0, a1, b0, b1, twin)), strict=True):
+        budget = room[x0:x1, None] + room[None, y0:y1]
+        budget -= np.maximum(least[x0:x1, None], least[None, y0:y1])
+        i, j = np.nonzero(np.bitwise_count(fold[x0:x1, None] ^ fold[None, y0:y1]) <= budget)
+        i, j = i + x0, j + y0
+        looked += int((np.arange(x0, x1)[:, None] < np.arange(y0, y1)[None, :]).sum()) if t else (x1 - x0) * (y1 - y0)
+        walk_on(*((i[i < j], j[i < j]) if t else (i, j)))
+    a0, a1, b0, b1, twin, size = (v[~dense] for v in (a0, a1, b0, b1, twin, size))
     ends, at = np.cumsum(size), 0
     while at < len(size):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 16 * STRIP)))
@@ -215,19 +242,8 @@ def trie_join(key: np.ndarray, side: np.ndarray, n: np.ndarray, err: np.ndarray,
         at, ok = to, ~np.repeat(twin[at:to], s) | (i < j)
         i, j = i[ok], j[ok]
         looked += len(i)
-        longer = np.maximum(need[i], need[j])
-        budget = n[i] + n[j] - 2 * longer - err[i] - err[j]
-        ok = np.bitwise_count(fold[i] ^ fold[j]).astype(np.int64) <= budget
-        i, j, budget, longer = i[ok], j[ok], budget[ok], longer[ok]
-        folded += len(i)
-        ok = (np.minimum(n[i], n[j]) >= longer) & ((side[i] == 2) | (side[i] != side[j]))
-        i, j, budget = i[ok], j[ok], budget[ok]
-        diff = np.zeros(len(i), np.int64)
-        for w in range(4):
-            diff += np.bitwise_count(sk[i, w] ^ sk[j, w])
-            ok = diff <= budget
-            i, j, diff, budget = i[ok], j[ok], diff[ok], budget[ok]
-        got_i.append(o[i]), got_j.append(o[j])
+        ok = np.bitwise_count(fold[i] ^ fold[j]) <= room[i] + room[j] - np.maximum(least[i], least[j])
+        walk_on(i[ok], j[ok])
     if told is not None:
         for k, v in (("pairs", every), ("at_nodes", every - looked), ("at_rows", looked - folded), ("left", sum(map(len, got_i)))):
             told[k] = told.get(k, 0) + v

@@ -14,10 +14,11 @@ from memspark.operators.lineage import materialise
 
 SAMPLE = 32768  # rows the index is fitted on, at most
 MAX_LISTS = 2048
-LIST_ROWS = 200  # rows of a list aimed at, until MAX_LISTS is reached
+LIST_ROWS = 200  # rows of a list aimed at; beyond MAX_LISTS lists, of a list's sublists
+SUB_PROBES = 6  # sublists a query asks of each of its lists, at least
 PROBED_OF = 500  # lists up to which a number of probes is kept; beyond, probes grow with the lists
 GROUP_ROWS = 12000  # rows of a group of neighbouring lists aimed at
-SLICE_ROWS = 48000  # a group with more rows is held by several tasks
+SLICE_ROWS = 48000  # a group with more rows, or as many queries, is held by several tasks
 STRICT = 2.1  # the larger, the fewer true neighbours an early test abandons
 
 
@@ -86,8 +87,12 @@ SENT = "part int, list int, probes array<int>, id long, vec binary"
 
 
 def _send(index: ListIndex, dim: int, probes: int):
-    """Rows for each (group, slice): `list` is the row's own list there (-1: it is only a query there), `probes` the lists it asks there."""
-    starts = np.concatenate([[0], np.cumsum(index.slices)])
+    """Rows for each block: `list` is the row's own list there (-1: it is only a query there), `probes` the lists it asks there.
+
+    A group of s slices has s x s blocks, one for each slice of its rows and slice of its
+    queries, so neither grows beyond what a task can hold.
+    """
+    starts = np.concatenate([[0], np.cumsum(index.slices**2)])
     k = len(index.centres)
     probes = probes_of(probes, k)
 
@@ -100,21 +105,26 @@ def _send(index: ListIndex, dim: int, probes: int):
                 near = x @ index.centres.T
                 top = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < k else np.tile(np.arange(k), (len(x), 1))
                 home = near.argmax(1)
-                slot = (ids % 1_000_003) % index.slices[index.group[home]]
+                place = ids % 1_000_003
                 groups = np.where(asks[:, None], index.group[top], -1)
                 order = np.argsort(groups, axis=1, kind="stable")
                 groups, top = np.take_along_axis(groups, order, 1), np.take_along_axis(top, order, 1)
                 out_part, out_list, out_row, out_probes = [], [], [], []
                 for i in range(len(x)):
-                    hg, seen_home = index.group[home[i]], False
+                    hg = index.group[home[i]]
                     cuts = np.flatnonzero(np.diff(groups[i])) + 1 if asks[i] else ()
+                    mine = set(range(index.slices[hg]))  # slices of queries its own row has to meet alone
+                    slot = place[i] % index.slices[hg]
                     for lists, g in zip(np.split(top[i], cuts), groups[i][np.concatenate([[0], cuts]).astype(int)], strict=True) if asks[i] else ():
-                        for sl in range(index.slices[g]):
-                            own = g == hg and sl == slot[i]
-                            seen_home |= own
-                            out_part.append(starts[g] + sl), out_list.append(home[i] if own else -1), out_row.append(i), out_probes.append(lists)
-                    if not seen_home:
-                        out_part.append(starts[hg] + slot[i]), out_list.append(home[i]), out_row.append(i), out_probes.append(())
+                        n = index.slices[g]
+                        q = place[i] // 1009 % n
+                        for sl in range(n):
+                            own = g == hg and sl == slot
+                            if own:
+                                mine.discard(q)
+                            out_part.append(starts[g] + sl * n + q), out_list.append(home[i] if own else -1), out_row.append(i), out_probes.append(lists)
+                    for q in mine:
+                        out_part.append(starts[hg] + slot * index.slices[hg] + q), out_list.append(home[i]), out_row.append(i), out_probes.append(())
                 rows = np.array(out_row, np.int64)
                 sizes = np.array([len(p) for p in out_probes], np.int32)
                 flat = np.concatenate([np.asarray(p, np.int32) for p in out_probes]) if len(out_probes) else np.zeros(0, np.int32)
@@ -181,6 +191,34 @@ def scan_lists(q: np.ndarray, q_ids: np.ndarray, pairs: tuple[np.ndarray, np.nda
     return got[0], best_i[got], 1 - best_d[got].astype(np.float64) / 2
 
 
+def split_lists(q: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], x: np.ndarray, x_list: np.ndarray, sub: int = SUB_PROBES, seed: int = 7) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(pairs, list of each row) after lists of more than two times LIST_ROWS rows are cut into sublists.
+
+    A list's sublists are fitted on at most 64 of its rows for each; each of its queries asks
+    the `sub` nearest of them and, like among lists, a share of them that doesn't shrink
+    before PROBED_OF.
+    """
+    big = [(li, n) for li, n in zip(*np.unique(x_list, return_counts=True), strict=True) if n > 2 * LIST_ROWS]
+    if not big:
+        return pairs, x_list
+    rng = np.random.default_rng(seed)
+    out, made = x_list.astype(np.int64), int(x_list.max()) + 1
+    asking, lists = [pairs[0][~np.isin(pairs[1], [li for li, _ in big])]], [pairs[1][~np.isin(pairs[1], [li for li, _ in big])]]
+    for li, n in big:
+        own, who = np.flatnonzero(x_list == li), pairs[0][pairs[1] == li]
+        k = int(n // LIST_ROWS)
+        fit = own if n <= 64 * k else own[rng.choice(n, 64 * k, replace=False)]
+        c = _spherical_means(x[fit], k, rng, 4)
+        out[own] = made + np.concatenate([(x[own[i : i + 4096]] @ c.T).argmax(1) for i in range(0, n, 4096)])
+        p = probes_of(min(sub, k), k)
+        for i in range(0, len(who), 4096):
+            w = who[i : i + 4096]
+            top = np.argpartition(-(q[w] @ c.T), p - 1, axis=1)[:, :p]
+            asking.append(np.repeat(w, p)), lists.append(made + top.ravel())
+        made += k
+    return (np.concatenate(asking), np.concatenate(lists)), out
+
+
 def _scan(dim: int, k: int, least: float | None):
     def run(key, table):
         table = table.combine_chunks()
@@ -195,7 +233,8 @@ def _scan(dim: int, k: int, least: float | None):
         place[ask] = np.arange(len(ask))
         flat = np.asarray(probes.flatten())
         pairs = (np.repeat(place[ask], asked[ask]), flat)
-        qi, nb, cos = scan_lists(x[ask], ids[ask], pairs, x[own], ids[own], lists[own], k, least)
+        pairs, owned = split_lists(x[ask], pairs, x[own], lists[own]) if len(own) and len(ask) else (pairs, lists[own])
+        qi, nb, cos = scan_lists(x[ask], ids[ask], pairs, x[own], ids[own], owned, k, least)
         return pa.table({"id": ids[ask][qi], "near": nb, "cosine": cos})
 
     return run
@@ -215,8 +254,10 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10
 
     Inverted lists: centres are fitted on a sample of at most SAMPLE rows; rows of
     neighbouring lists share a group, and a query is sent once to each group that holds one
-    of its nearest lists: `probes` of them, more beyond PROBED_OF lists. A group with more rows than SLICE_ROWS is cut into
-    slices. Within each probed list candidates are abandoned by `scan_lists`.
+    of its nearest lists: `probes` of them, more beyond PROBED_OF lists. Beyond MAX_LISTS
+    lists each task cuts its lists into sublists, so that a query looks at as many rows as
+    before; a group with more rows or queries than SLICE_ROWS is cut into slices. Within each
+    probed list candidates are abandoned by `scan_lists`.
     """
     spark = df.sparkSession
     v = F.col(vec_col).cast("array<float>")
@@ -234,17 +275,20 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10
     found = sent.groupBy("part").applyInArrow(_scan(dim, k, least), "id long, near long, cosine double")
     top = lambda key, *tie: Window.partitionBy(key).orderBy(F.desc("cosine"), *tie)
     found = found.withColumn("rank", F.row_number().over(top("id", "near"))).filter(F.col("rank") <= k)
-    many = classes.filter("last > id").select("h", F.col("id").alias("rep"))
+    many = classes.filter("last > id").select("h", "vec", F.col("id").alias("rep"))
     if many.isEmpty():
         return found
     # Members of classes with several ids; the first k + 1 stand for the class as neighbours.
-    members = rows.withColumn("h", F.xxhash64("vec")).join(many, "h").select("rep", "id").distinct()
-    members = materialise(members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))), "members")
-    firsts = members.filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("near"))
+    members = rows.withColumn("h", F.xxhash64("vec")).join(many, ["h", "vec"]).select("rep", "id").distinct()
+    members = materialise(members, "members")
+    least_ids = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    spread = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(64)))  # a class may hold a third of all rows
+    firsts = spread.withColumn("r", least_ids("rep", "s")).filter(F.col("r") <= k + 1).withColumn("r", least_ids("rep")).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("near"))
     found = materialise(found, "found")
     wide = found.select(F.col("id").alias("asker"), F.col("near").alias("rep"), "cosine").join(firsts, "rep", "left")
     wide = wide.select("asker", F.coalesce("near", "rep").alias("near"), "cosine").unionByName(firsts.select(F.col("rep").alias("asker"), "near", F.lit(1.0).alias("cosine")))
     wide = wide.withColumn("r", F.row_number().over(top("asker", "near"))).filter(F.col("r") <= k + 1).drop("r")
     asking = members.select(F.col("rep").alias("asker"), "id")
-    out = wide.join(asking, "asker", "left").select(F.coalesce("id", "asker").alias("id"), "near", "cosine").filter((F.col("id") != F.col("near")) & wanted)
+    alone = wide.join(many.select(F.col("rep").alias("asker")), "asker", "left_anti").select(F.col("asker").alias("id"), "near", "cosine")
+    out = asking.join(wide, "asker").select("id", "near", "cosine").unionByName(alone).filter((F.col("id") != F.col("near")) & wanted)
     return out.withColumn("rank", F.row_number().over(top("id", "near"))).filter(F.col("rank") <= k)

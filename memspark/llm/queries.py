@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from memspark.llm.conversations import conversation_report, conversations
 from memspark.llm.cutoffs import cut_rates, cut_texts, source_name
 from memspark.llm.leaks import leaked_passages
-from memspark.llm.mixture import mixture, shares_report, token_counts
+from memspark.llm.mixture import budget_report, mixture, shares_report, token_counts
 from memspark.llm.nearcopies import components, near_copies
 from memspark.llm.neighbours import nearest
+from memspark.operators.lineage import materialise
 from memspark.sources.tables import table
 
 _LEDGER = ("session_id", "turn_index", "speaker", "raw_text", ["ingest_time_ms"])
@@ -76,12 +77,24 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-def _mixture(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+TREE = ["source", "doc_kind", "lang"]
+TEMPER = 0.5  # domains of a source and languages of a domain weigh the root of their tokens
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "doc_kind", "lang", "text")
+    plain = lambda c: F.lower(F.trim(c)).alias(c)
+    names = docs.select("doc_id", source_name(F.col("source")).alias("source"), plain("doc_kind"), plain("lang"), "text")
+    return token_counts(names, ["doc_id", *TREE], "text", spark.conf.get("spark.memspark.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"))
+
+
+def _weights(spark: SparkSession, d: str) -> tuple[dict, dict]:
     weights = table(spark, d, "source_weights").collect()  # one row per source of the target mixture
-    names = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.lower(F.trim("lang")).alias("lang"), "text")
-    counted = token_counts(names, ["doc_id", "source", "lang"], "text")
-    return mixture(counted, "doc_id", ["source", "lang"], {(w.source,): w.target_share for w in weights}, {w.source: w.max_repeats for w in weights})
+    return {(w.source,): w.target_share for w in weights}, {w.source: w.max_repeats for w in weights}
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(_counted(spark, d), "doc_id", TREE, *_weights(spark, d), temper=TEMPER)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +102,13 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)
 
 
+def p9_shortages(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture as large as the corpus: what each source, domain and language should give, lacks and takes over."""
+    counted = materialise(_counted(spark, d), "tokens")
+    total = counted.agg(F.sum("n_tokens")).first()[0] or 0
+    return budget_report(counted, TREE, *_weights(spark, d), float(total), TEMPER)
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every source."""
     return shares_report(_mixture(spark, d), "source", table(spark, d, "source_weights"))
@@ -108,7 +128,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_rates(_cuts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans, p9_mixture, p9_shares, p9_shortages, p10_found, p10_rates)}
 
 _TURNS = r"""WITH raw AS (SELECT nullif(trim(session_id), '') AS session_id, turn_index AS i, lower(trim(coalesce(speaker, ''))) AS sp,
     regexp_replace(raw_text, '^[\s\p{Z}\x{200B}]+|[\s\p{Z}\x{200B}]+$', '', 'g') AS t FROM ledger_turns),

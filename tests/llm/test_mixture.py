@@ -2,7 +2,9 @@ import os
 
 import pytest
 
-from memspark.llm.mixture import TOKENIZER, mixture, plan_budgets, shares_report, token_counts
+from memspark.llm.mixture import budget_report, mixture, plan_budgets, shares_report, token_counts
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def test_budgets_go_to_siblings_first():
@@ -16,6 +18,20 @@ def test_budgets_go_to_siblings_first():
     assert plan_budgets([], {}, {}) == {(): 0.0}
 
 
+def test_small_domains_run_short_and_their_siblings_take_over(spark):
+    """source > domain > language: a shortage stays below the domain, then below the source."""
+    rows = [("s", "web", "en", 900), ("s", "web", "de", 25), ("s", "web", "fr", 75), ("s", "book", "en", 36), ("t", "web", "en", 4000)]
+    leaves = [(r[:3], r[3]) for r in rows]
+    out = plan_budgets(leaves, {("s",): 0.5, ("t",): 0.5}, {}, 800, temper=0.5)
+    assert out[("s", "book", "en")] == 36 and out[("s", "web", "de")] == 25  # both short
+    assert sum(v for k, v in out.items() if k[0] == "s") == pytest.approx(400) and out[("t", "web", "en")] == pytest.approx(400)
+    flat = plan_budgets(leaves, {("s",): 0.5, ("t",): 0.5}, {}, 800)
+    assert flat[("s", "web", "de")] < 25 and flat != out
+    counted = spark.createDataFrame([(*r, "x") for r in rows] + [("none", "a", "b", 9, "x"), ("s", None, None, 0, "x")], "source string, doc_kind string, lang string, n_tokens long, level string")
+    rep = {r.path: r for r in budget_report(counted, ["source", "doc_kind", "lang"], {("s",): 0.5, ("t",): 0.5}, {}, 3000, 0.5).collect()}
+    assert rep["s"].short == pytest.approx(464) and rep["t"].taken_over == pytest.approx(464) and rep["s > web > de"].budget == 25 and "none" not in rep
+
+
 def test_shares_caps_and_seed(spark):
     rows = [(i, "big" if i % 3 else "small", "en" if i % 2 else None, 10 + i % 50, "clash") for i in range(3000)] + [(9001, "other", "en", 50, ""), (None, "big", "en", 50, ""), (9002, "big", "en", 0, ""), (9003, None, "en", 7, "")]
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long, rest string")
@@ -35,5 +51,5 @@ def test_shares_caps_and_seed(spark):
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
 def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "ab " * 50_000)], "doc_id long, t string")
-    got = {r.doc_id: r.n_tokens for r in token_counts(df, ["doc_id"], "t").collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, ["doc_id"], "t", TOKENIZER).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 50_000

@@ -1,5 +1,6 @@
 import numpy as np
 
+from memspark.llm import neighbours
 from memspark.llm.neighbours import nearest
 
 
@@ -41,6 +42,21 @@ def test_recall_and_pairs(spark):
     assert near == {(min(i, j), max(i, j)) for i, v in brute(ids, x, 10, 0.9).items() for j in v}
 
 
+def test_sublists_and_blocks(spark, monkeypatch):
+    """As beyond MAX_LISTS lists and SLICE_ROWS rows: sublists inside tasks, slices of rows and of queries."""
+    monkeypatch.setattr(neighbours, "MAX_LISTS", 6)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 40)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 600)
+    monkeypatch.setattr(neighbours, "SLICE_ROWS", 250)
+    ids, x = data(2000, 3)
+    got = {}
+    for r in nearest(frame(spark, ids, x), "vector_id", "embedding", probes=4).collect():
+        got.setdefault(r.id, []).append(r.near)
+    want = brute(ids, x, 10)
+    assert set(got) == set(want) and all(len(v) == len(set(v)) == 10 for v in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) / (10 * len(want)) >= 0.9
+
+
 def test_classes_of_equal_vectors(spark):
     ids, x = data(200, 1)
     x[50:80] = x[50]  # a class larger than k
