@@ -76,3 +76,28 @@ def iso_dates(c: Column) -> Column:
     """Epoch milliseconds of the yyyy-mm-dd dates of years 1900 to 2200 in the text."""
     found = F.regexp_extract_all(c, F.lit("\\b((?:19|20|21)\\d\\d-[01]\\d-[0-3]\\d)\\b"), F.lit(1))
     return F.filter(F.transform(found, lambda s: F.unix_millis(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))), lambda x: x.isNotNull())
+
+
+def distinct_ignoring_case(items: Column) -> Column:
+    """Items in order, each once whatever the case of its letters."""
+    low = F.transform(items, lambda x: F.lower(x))
+    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def speaker_name(c: Column, no_speaker: list[str]) -> Column:
+    """A speaker's name without quotes, brackets and bullets; null for labels of headers."""
+    name = F.regexp_replace(F.trim(c), "^[\"'\\[\\]*• -]+|[\"'\\[\\]*• -]+$", "")
+    low = F.lower(name)
+    return F.when((name != "") & ~low.isin(no_speaker) & ~low.startswith("session ") & ~low.startswith("window "), name)
+
+
+def role_line(c: Column, no_speaker: list[str]) -> Column:
+    """Struct (speaker, said) of a line with a speaker before ":", "=>" or " - ", the first of these that gives both; null for others and for bracketed lines."""
+    line = F.regexp_replace(F.trim(c), "^[-*•> ]+", "")
+    out = F.lit(None).cast("struct<speaker: string, said: string>")
+    for sep in (" - ", "=>", ":"):
+        name = speaker_name(F.substring_index(line, sep, 1), no_speaker)
+        rest = F.substring(line, F.locate(sep, line) + len(sep), F.length(line))
+        said = F.trim(F.regexp_replace(F.regexp_replace(rest, r"^[\s\p{Z}]*(\[[^\]]*\][\s\p{Z}]*)*", ""), "[\\s\\p{Z}]+", " "))
+        out = F.when(F.contains(line, F.lit(sep)) & name.isNotNull() & (said != ""), F.struct(name.alias("speaker"), said.alias("said"))).otherwise(out)
+    return F.when((line != "") & ~(line.startswith("[") & line.endswith("]")), out)

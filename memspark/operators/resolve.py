@@ -37,7 +37,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [y for y, f in zip(b, free, strict=True) if not f]
-    m, moved = len(left), sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    m, moved = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2  # whole transpositions
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     lead = 0
     while lead < min(4, len(a), len(b)) and a[lead] == b[lead]:

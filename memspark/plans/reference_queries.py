@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import extract, scoring, text
-from memspark.operators import changes, graph, metrics, resolve, search, temporal
+from memspark.operators import changes, graph, metrics, search, temporal
 from memspark.operators.lineage import scratch_root
 from memspark.operators.rows import clean_id, latest
 from memspark.plans import planner
@@ -226,7 +226,7 @@ _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'),
 _ALNUM = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
-@query(f"SELECT memory_id, len({_WORDS.format('content')}) AS n_tokens, len({_ALNUM.format('content')}) AS n_alpha, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS line FROM {M}")
+@query(f"SELECT memory_id, len({_WORDS.format('content')}) AS n_tokens, len({_ALNUM.format('content')}) AS n_alpha, trim(regexp_replace(content, '[\\s\\p{{Z}}]+', ' ', 'g')) AS line FROM {M}")
 def text_tokens(spark, d):
     return memories(spark, d).select("memory_id", F.size(text.similarity_tokens(F.col("content"))).alias("n_tokens"), F.size(text.alpha_tokens(F.col("content"))).alias("n_alpha"), text.one_line(F.col("content")).alias("line"))
 
@@ -265,15 +265,6 @@ def content_hash(spark, d):
     return memories(spark, d).filter("content is not null and entity_id is not null and kind is not null").select("memory_id", text.content_hash(F.col("content"), F.col("entity_id"), F.col("kind")).alias("hash"))
 
 
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, TRY_CAST(unnest(regexp_extract_all(text, '{p}', 1)) AS DOUBLE) AS value FROM documents WHERE text IS NOT NULL" for k, p in text.QUANTITY_PATTERNS.items())
-
-
-@query(f"SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(sum(value), 4) AS total FROM ({_FOUND}) GROUP BY 1")
-def quantities_in_text(spark, d):
-    q = table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", F.explode(text.quantities(F.col("text"))).alias("q"))
-    return q.groupBy("q.label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.sum("q.value"), 4).alias("total"))
-
-
 @query(f"""SELECT intent, count(*) AS n FROM (SELECT CASE WHEN num AND (mon OR contains(t, ' before ') OR contains(t, ' after ')) THEN 'temporal' WHEN num THEN 'numeric'
     WHEN regexp_matches(t, 'nickname|called|named|as a child|as a kid|childhood|middle name') THEN 'peripheral' WHEN regexp_matches(t, 'would|likely|might|considered|be open to|political leaning|more interested') THEN 'inference'
     WHEN starts_with(t, 'when ') OR mon OR regexp_matches(t, ' last month| this year| past | over the past| before | after ') THEN 'temporal' WHEN regexp_matches(t, 'recommend|suggest|advice|tips|ideas') THEN 'recommendation' ELSE 'general' END AS intent
@@ -283,13 +274,6 @@ def question_intents(spark, d):
     return ledger(spark, d).select(text.query_intent(F.col("text")).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
 
 
-@query()
-def phonetic_names(spark, d):
-    """Distinct names of the registry with their phonetic keys."""
-    n = table(spark, d, "entity_registry", "canonical_name").select(clean_id("canonical_name").alias("name")).filter("name is not null").distinct()
-    return n.select("name", text.soundex_variant(F.col("name")).alias("soundex"), text.phonetic_key(F.col("name")).alias("phonetic"))
-
-
 @query()
 def resolve_names(spark, d):
     """Each name in edges with the registry entity of the same owner it resolves to: exactly, else by phonetic key."""
@@ -545,13 +529,6 @@ def _labelled(label):
     return lambda v: F.struct(v.alias("name"), F.lit(label).alias("label"))
 
 
-@query()
-def resolve_similar(spark, d):
-    """Names of edges resolved exactly, by similarity, or by sound."""
-    named = edges(spark, d).filter(F.col("edge_type").isin("prefers", "works_at", "lives_in", "caused_by", "leads_to", "default"))
-    return resolve.resolve(named.filter("target is not null"), "target", table(spark, d, "entity_registry"), "entity_id", "canonical_name")
-
-
 # ---- whole retrieval and streams -------------------------------------------------------------
 
 _STALE = """, st AS (SELECT DISTINCT trim(target_memory_id) AS doc FROM deletion_tombstones WHERE trim(target_memory_id) <> '')"""
