@@ -439,3 +439,9 @@ def merge_proposals(spark, d):
     """Names that resolve to another name, neither exactly nor to themselves, as proposals to merge, exact ones (4) aside."""
     x = _resolved(spark, d).filter(F.col("method").isin("similar", "phonetic") & (F.col("name") != F.col("resolved")))
     return x.withColumn("priority", F.when(F.col("method") == "similar", 3).otherwise(2))
+
+
+SQL["resolve_names"] = f"""WITH named AS (SELECT DISTINCT source FROM {E} WHERE edge_type IN {_EN} AND source IS NOT NULL), r AS (SELECT DISTINCT trim(canonical_name) AS name FROM entity_registry WHERE trim(canonical_name) <> '' AND trim(entity_id) <> ''),
+ex AS (SELECT lower(name) AS k, min(name) AS hit FROM r GROUP BY 1), sd AS (SELECT {_soundex_sql(_PHON.format('name'))} AS k, min(name) AS near FROM r GROUP BY 1)
+SELECT source, coalesce(hit, near) AS resolved, CASE WHEN hit IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'phonetic' ELSE 'none' END AS method, CASE WHEN hit IS NOT NULL THEN 1.0 WHEN near IS NOT NULL THEN 0.85 ELSE 0.0 END::DOUBLE AS confidence
+FROM named LEFT JOIN ex ON lower(source) = ex.k LEFT JOIN sd ON {_soundex_sql(_PHON.format('source'))} = sd.k"""

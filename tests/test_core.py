@@ -1,9 +1,10 @@
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from memspark.functions import extract, scoring, text
+from memspark.functions import claims, dates, extract, scoring, text
 from memspark.operators import changes, graph, metrics, resolve, search, temporal
 
 
@@ -106,3 +107,57 @@ def test_chunks(spark):
     docs = spark.createDataFrame([(1, "From: a\nSubject: b\n\nhi"), (2, None), (3, "User: hi\r\nBot: yes")], "doc_id long, text string")
     assert extract.chunk_documents(docs, "doc_id", "text").filter("doc_id = 1").count() == 2
     assert [(r.speaker, r.said) for r in extract.dialogue_lines(docs, "doc_id", "text").filter("doc_id = 3").collect()] == [("user", "hi"), ("bot", "yes")]
+
+
+def test_phonetic_key_reads_each_letter_once(spark):
+    df = spark.createDataFrame([("Bicknell",), ("Sickn",), ("Wright",), ("Knphck",), ("",), (None,)], "n string")
+    got = {r.n: r.k for r in df.select("n", text.phonetic_key(F.col("n")).alias("k")).collect()}
+    assert (got["Bicknell"], got["Sickn"], got["Wright"], got[""], got[None]) == ("b254", "s250", "r230", "", None)
+
+
+def test_quantities(spark):
+    one = lambda t: [(r.label, r.value, r.unit) for r in spark.createDataFrame([(t,)], "t string").select(text.quantities(F.col("t")).alias("q")).first().q]
+    assert one("$1,250.50 for 3 Books") == [("money", 1250.5, "USD"), ("count_books", 3.0, "Books")]
+    assert ("distance_range", 15.0, "km") in one("between 10 and 20 km") and ("percentage", 5.0, "%") in one("5 percent")
+    assert ("duration_approx", 3.0, "hours") in one("about 3 hours") and ("count_approx", 3.0, None) in one("about 3 or so")
+    assert one("") == [] and one("8 Für") == []
+    assert spark.createDataFrame([(None,)], "t string").select(text.quantities(F.col("t")).alias("q")).first().q is None
+
+
+FACTS = {"I have three children": "children_count", "User fact: I live in Rome": "residence", "I have 3 red bikes in the garage": "garage_red_bike_count", "I have a dog named Rex": "dog_name", "My favorite color is blue": "favorite_color",
+         "We spent 20 dollars on the new shoes": "shoe_price", "I am an engineer": "occupation", "she got a new car": "purchase", "They are engaged": "relationship_status", "my is": None, "nothing here": None, "": None, "I have": None, "i had it is": "it"}
+
+
+def test_fact_keys(spark):
+    df = spark.createDataFrame([(t, 1) for t in FACTS] + [(None, 1)], "t string, w int")
+    got = {r.t: r.fact_key for r in claims.with_fact_key(df, "t").collect()}
+    assert got == {t: k for t, k in FACTS.items() if k}
+
+
+def test_dates_in_words(spark):
+    ref = 1_700_000_000_000  # November 2023
+    day = lambda *d: int(dt.datetime(*d, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    want = {"on 2024-02-30 then": day(2024, 3, 1), "5 March 2021": day(2021, 3, 5), "March 5": day(2023, 3, 5), "Mar 2020": day(2020, 3, 1), "you may go": None, "may 7": day(2023, 5, 7), "in 1999 or so": day(1999, 1, 1), "": None, "1850": None, "2024-13-01": day(2024, 1, 1), None: None}
+    df = spark.createDataFrame([(t, ref, 0) for t in want], "t string, r long, w int")
+    assert {r.t: r.date_ms for r in dates.with_date_ms(df, "t", "r").collect()} == want
+    assert df.limit(0).count() == dates.with_date_ms(df.limit(0), "t", "r").count()
+    assert spark.range(1).select(dates.moved_ms(F.lit("since last week"), F.lit(ref)).alias("x")).first().x == ref - 7 * 86_400_000
+
+
+def test_row_changes(spark, rows):
+    a = spark.createDataFrame([("k", 1, ["x", "y"])], "k string, n int, l array<string>")
+    b = spark.createDataFrame([("k", 2, ["y", "z"]), ("q", 5, None)], "k string, n int, l array<string>")
+    assert rows(changes.merge_lists(a, b, ["k"], {"n": F.sum}, ["l"]).withColumn("l", F.array_join("l", ","))) == [("k", 3, "x,y,z"), ("q", 5, None)]
+    gone = spark.createDataFrame([("k",)], "k string")
+    assert rows(changes.marked_deleted(spark.createDataFrame([("k",), ("z",), (None,)], "k string"), "k", gone)) == [("k", True), ("z", False), (None, False)]
+    with pytest.raises(ValueError):
+        changes.reset(spark, "nowhere", "yes")
+
+
+def test_bounded_walk_and_clusters(spark, rows):
+    e = spark.createDataFrame([(f"e{i}", "hub", f"n{i}", "prefers", float(i)) for i in range(9)] + [("x", "n0", "far", "default", 2.0), ("y", None, "far", "default", 1.0)], "edge_id string, source string, target string, edge_type string, weight double")
+    seed = spark.createDataFrame([("n0",), (None,)], "n string")
+    assert rows(graph.bounded_walk(e, seed, 2, 3)) == [("n0", "far", 1), ("n0", "hub", 1), ("n0", "n1", 2), ("n0", "n2", 2)]
+    got = {r.node: round(r.score, 3) for r in graph.edge_cluster_scores(e, seed, ("prefers",), most=2).collect()}
+    assert got == {"hub": 0.0, "far": 2.0, "n8": 7.2, "n7": 6.3, "n0": 1.2}
+    assert graph.bounded_walk(e.limit(0), seed, 2, 3).count() == 0
