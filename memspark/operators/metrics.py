@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.operators.lineage import materialise
+from memspark.operators.ordered import dense_order
+
 # Bucket widths in milliseconds; a month is 30 days and a year 365.
 WIDTHS = {"hour": 3_600_000, "day": 86_400_000, "week": 604_800_000, "month": 2_592_000_000, "year": 31_536_000_000}
 
@@ -47,12 +50,15 @@ def aggregate_bucketed(df: DataFrame, keys: list[str], time: str, value: str, wi
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(n p), per key; exact, from value counts.
+    """Nearest-rank percentiles: the value at place ceil(n p), per key, and the count; exact.
 
-    Values are counted first, so a hot key's rows are pre-aggregated before its window.
+    Rows are numbered by a range shuffle over (key, value), so a hot key lies in many tasks;
+    of each key only its first place and count are looked up, and the rows at the wanted
+    places. Null keys are a key like any other; null and NaN values are left out.
     """
-    counts = usable(df, value).groupBy(key, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(key)
-    counts = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    picks = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
-    return counts.groupBy(key).agg(*picks, F.max("_all").alias("count"))
+    rows, _ = dense_order(materialise(usable(df, value).select(key, value), "values"), key, value)
+    spans = materialise(rows.groupBy(key).agg(F.min("pos").alias("_0"), F.count("*").alias("count")), "spans")
+    at = [(F.col("_0") + F.ceil(F.col("count") * p).cast("long") - 1).alias(f"p{round(p * 100)}") for p in shares]
+    wanted = spans.select("count", key, F.explode(F.create_map(*[x for p, c in zip(shares, at, strict=True) for x in (F.lit(f"p{round(p * 100)}"), c)])).alias("_name", "pos"))
+    found = wanted.join(rows.select("pos", F.col(value).alias("_v")), "pos")
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("_name") == f"p{round(p * 100)}", F.col("_v"))).alias(f"p{round(p * 100)}") for p in shares], F.max("count").alias("count"))

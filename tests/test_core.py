@@ -8,7 +8,9 @@ from memspark.functions import claims, dates, extract, scoring, text
 from memspark.operators import changes, graph, metrics, resolve, search, temporal
 
 
-def test_supersede_against_replay(spark):
+@pytest.mark.parametrize("block", [7, 4096])
+def test_supersede_against_replay(spark, monkeypatch, block):
+    monkeypatch.setattr(temporal, "BLOCK", block)
     rnd = random.Random(3)
     rows = [(rnd.choice("abc"), f"f{i}", rnd.randrange(40), i) for i in range(300)]
     cur, want = {}, {}
