@@ -240,45 +240,80 @@ def merge_spans(rows: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 4)
 
 
-def _search_shards(probes: Probes):
-    def shard(ids: list[int], words: list[list[int]]) -> pa.RecordBatch:
+def word_places(text: str) -> np.ndarray:
+    """(first character, character behind the last) of every word of a text, also where lower case has other lengths."""
+    low = text.lower()
+    at = np.array([m.span() for m in _WORD.finditer(low)], np.int64).reshape(-1, 2)
+    if len(low) == len(text) or not len(at):
+        return at
+    made = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])  # which character each one of `low` comes from
+    return np.stack([made[at[:, 0]], made[at[:, 1] - 1] + 1], axis=1)
+
+
+def removal_spans(rows: np.ndarray) -> np.ndarray:
+    """Rows (document, from, to, items) from rows (document, item, from, to): spans of a document that touch, of whatever items, made one."""
+    out: list[list] = []
+    for d, i, a, b in rows[np.lexsort((rows[:, 2], rows[:, 0]))].tolist():
+        if out and out[-1][0] == d and a <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], b)
+            out[-1][3].add(i)
+        else:
+            out.append([d, a, b, {i}])
+    return np.array([[d, a, b, len(items)] for d, a, b, items in out], np.int64).reshape(-1, 4)
+
+
+def _search_shards(probes: Probes, by_item: bool):
+    def shard(ids: list[int], words: list[list[int]], texts: list[str]) -> pa.RecordBatch:
         bounds = np.r_[0, np.cumsum([len(x) for x in words])].astype(np.int64)
         w = np.concatenate([np.array(x, np.int64) for x in words]) if words else np.zeros(0, np.int64)
         rows = merge_spans(np.stack(find_passages(w, bounds, probes), axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[rows[:, 0]]), pa.array(probes.ids[rows[:, 1]] if len(rows) else np.zeros(0, np.int64)), pa.array(rows[:, 2]), pa.array(rows[:, 3])],
-                                          names=["doc_id", "item_id", "from_word", "to_word"])
+        extra = rows[:, 1]
+        if not by_item:
+            merged = removal_spans(rows)
+            rows, extra = np.stack([merged[:, 0], merged[:, 0], merged[:, 1], merged[:, 2]], axis=1), merged[:, 3]
+        else:
+            extra = probes.ids[extra] if len(rows) else np.zeros(0, np.int64)
+        places = {d: word_places(texts[d]) for d in np.unique(rows[:, 0]).tolist()}
+        first = np.array([places[d][a, 0] for d, a in zip(rows[:, 0].tolist(), rows[:, 2].tolist(), strict=True)], np.int64)
+        last = np.array([places[d][b - 1, 1] for d, b in zip(rows[:, 0].tolist(), rows[:, 3].tolist(), strict=True)], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[rows[:, 0]]), pa.array(extra), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(first), pa.array(last)],
+                                          names=["doc_id", "item_id" if by_item else "n_items", "from_word", "to_word", "from_char", "to_char"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = probes.words.get
         ids: list[int] = []
         words: list[list[int]] = []
+        texts: list[str] = []
         count = 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = [get(v, 0) for v in _WORD.findall(text.lower())]
-                ids.append(i), words.append(x)
+                ids.append(i), words.append(x), texts.append(text)
                 count += len(x)
                 if count >= SHARD_WORDS:
-                    yield shard(ids, words)
-                    ids, words, count = [], [], 0
+                    yield shard(ids, words, texts)
+                    ids, words, texts, count = [], [], [], 0
         if ids:
-            yield shard(ids, words)
+            yield shard(ids, words, texts)
 
     return run
 
 
-def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(doc_id, item_id, from_word, to_word): passages of held-out items inside documents.
+def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, by_item: bool = True) -> DataFrame:
+    """(doc_id, item_id, from_word, to_word, from_char, to_char): passages of held-out items inside documents.
 
     A passage is a stretch of at least 20 consecutive words of the item (lower case runs of
     letters and digits) of which the document holds a copy with at most one word in ten
-    changed, added or left out; overlapping passages of one item are one span of words.
+    changed, added or left out; overlapping passages of one item are one span, told
+    in words and in characters of the text as it is stored (the last one aside). Without
+    `by_item` the spans of all items are merged, to cut them out: n_items in place of item_id.
     Null texts, ids and items give no row; shorter items can't leak; a document is searched
     as a whole, however long, and rows with the same id are separate documents; empty
     tables give an empty result; other columns are ignored.
 
     Each task cuts its documents into shards of about SHARD_WORDS words, builds an FM-index
-    of each, searches all phrases of SEED words backward and looks at what stands around
+    of each (of the runs of words whose neighbouring pairs occur in items: others can't hold a
+    phrase, and stand in the index as separators), searches all phrases of SEED words backward and looks at what stands around
     the hits. No shuffle; only the items, of a checked number of words, are sent to tasks.
     """
     total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -287,4 +322,4 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     rows = items.select(F.col(item_id).cast("long"), item_text).filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).distinct().collect()
     probes = Probes.of(sorted((r[0], r[1]) for r in rows))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    return texts.mapInArrow(_search_shards(probes), "doc_id long, item_id long, from_word long, to_word long")
+    return texts.mapInArrow(_search_shards(probes, by_item), f"doc_id long, {'item_id' if by_item else 'n_items'} long, from_word long, to_word long, from_char long, to_char long")

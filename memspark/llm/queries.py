@@ -63,8 +63,8 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("memory_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_passages(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+def _leaks(spark: SparkSession, d: str, by_item: bool = True) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text", by_item)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,10 +73,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of words to remove from each document."""
+    """Spans of each item in each document, in words and characters."""
     return _leaks(spark, d)
 
 
+def p8_removals(spark: SparkSession, d: str) -> DataFrame:
+    """Spans to cut out of each document, those of all items merged."""
+    return _leaks(spark, d, by_item=False)
+
+
 TREE = ["source", "doc_kind", "lang"]
 TEMPER = 0.5  # domains of a source and languages of a domain weigh the root of their tokens
 
@@ -128,7 +133,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_rates(_cuts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans, p9_mixture, p9_shares, p9_shortages, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_topk, p6_found, p6_groups, p8_found, p8_spans, p8_removals, p9_mixture, p9_shares, p9_shortages, p10_found, p10_rates)}
 
 _TURNS = r"""WITH raw AS (SELECT nullif(trim(session_id), '') AS session_id, turn_index AS i, lower(trim(coalesce(speaker, ''))) AS sp,
     regexp_replace(raw_text, '^[\s\p{Z}\x{200B}]+|[\s\p{Z}\x{200B}]+$', '', 'g') AS t FROM ledger_turns),

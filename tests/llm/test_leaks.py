@@ -55,6 +55,22 @@ def test_spans_shards_and_empty(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"a b c {item} x y" if k % 2 else "nothing here") for k in range(20)], "doc_id long, text string").coalesce(1)
     it = spark.createDataFrame([(5, item)], "item_id long, text string")
     got = leaked_passages(docs, "doc_id", "text", it, "item_id", "text")
-    assert sorted(tuple(r) for r in got.collect()) == [(k, 5, 3, 43) for k in range(1, 20, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, 5, 3, 43, 6, 6 + len(item)) for k in range(1, 20, 2)]
     assert leaked_passages(docs, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
     assert leaked_passages(docs.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
+
+
+def test_removals_in_characters(spark):
+    """Spans of two items that touch are cut out together; places are those of the stored text, whatever its lower case."""
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    both = "İİ ß. " + a.upper() + " " + b + "! end"
+    apart = a + " and" * 30 + " " + b  # too far apart for the item that holds parts of both
+    over = " ".join(f"a{k}" for k in range(10, 30)) + " " + " ".join(f"b{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, both), (2, apart), (3, "x " + over)], "doc_id long, text string")
+    it = spark.createDataFrame([(1, a), (2, b), (3, over)], "item_id long, text string")
+    got = {}
+    for r in leaked_passages(docs, "doc_id", "text", it, "item_id", "text", by_item=False).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    cut = {d: [t[r.from_char : r.to_char] for r in sorted(got[d], key=lambda r: r.from_char)] for d, t in ((1, both), (2, apart), (3, "x " + over))}
+    assert cut[1] == [a.upper() + " " + b] and got[1][0].n_items == 3
+    assert cut[2] == [a, b] and cut[3] == [over]
