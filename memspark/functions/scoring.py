@@ -57,3 +57,13 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 for different lengths or a zero norm."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))).otherwise(0.0)
+
+
+def facet_mask(tokens: Column, low: Column, facets: list[tuple[list[str], list[str], list[str]]]) -> Column:
+    """Bits of the facets (words, times, names) a text meets: one word of up to two, else two of them, and of times and names one, if there are any."""
+    out = F.lit(0)
+    some = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(low, w)) if ws else F.lit(True)
+    for i, (words, times, names) in enumerate(facets):
+        hits = F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), tokens))
+        out = out + F.when((hits >= (1 if len(words) <= 2 else 2)) & some(times) & some(names), 1 << i).otherwise(0)
+    return out
