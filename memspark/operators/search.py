@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import similarity_tokens
@@ -22,6 +23,18 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return toks.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def _best(hits: DataFrame, sizes: DataFrame, queries: list[tuple[str, list[str]]], k: int) -> DataFrame:
+    """(query, doc, score, rank) from the postings of the asked terms and one row of (docs, mean)."""
+    spark = hits.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(q, t) for q, ts in queries for t in dict.fromkeys(ts)], "query string, term string"))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # as many rows as the batch has terms
+    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = hits.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(sizes)).groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def bm25(docs: DataFrame, doc: str, text: str, queries: list[tuple[str, list[str]]], k: int = 10) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query (any of its terms), by BM25.
 
@@ -29,17 +42,63 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: list[tuple[str, list[str
     batch of a few term lists; only their terms' postings are shuffled. Ties go to the
     lesser document; null and empty texts are no documents.
     """
-    spark = docs.sparkSession
     sizes = docs.select(F.size(similarity_tokens(F.col(text))).alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    wanted = F.broadcast(spark.createDataFrame([(q, t) for q, ts in queries for t in dict.fromkeys(ts)], "query string, term string"))
     terms = sorted({t for _, ts in queries for t in ts})
-    hits = postings(docs, doc, text).filter(F.col("term").isin(terms))
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # as many rows as the batch has terms
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = hits.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(sizes)).groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return _best(postings(docs, doc, text).filter(F.col("term").isin(terms)), sizes, queries, k)
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings stored below `root`, a folder for each batch, in ranges of terms, so that a search reads only the row groups of its terms.
+
+    A batch brings documents or takes some away; a document that is brought again replaces
+    itself. `compacted` writes what is left as one batch.
+    """
+
+    spark: SparkSession
+    root: str
+    batches: tuple[tuple[str, str], ...] = ()
+
+    def _write(self, rows: DataFrame, kind: str) -> TextIndex:
+        name = f"{kind}-{len(self.batches)}"
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return TextIndex(self.spark, self.root, (*self.batches, (kind, name)))
+
+    def add(self, docs: DataFrame, doc: str, text: str) -> TextIndex:
+        """With the documents of `docs`, one row per document; null and empty texts are none, but take away what was there."""
+        out = self._write(docs.select(F.col(doc).alias("doc")).distinct(), "gone") if self.batches else self
+        p = postings(docs, doc, text)
+        return out._write(p.repartitionByRange("term", "doc").sortWithinPartitions("term"), "added")
+
+    def remove(self, docs: DataFrame) -> TextIndex:
+        """Without the documents whose id is in the only column of `docs`."""
+        return self._write(docs.select(F.col(docs.columns[0]).alias("doc")).distinct(), "gone")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """(doc, len, term, tf) of what is there, of the asked terms only: the filter reaches the scan of each batch."""
+        out = None
+        for kind, name in self.batches:
+            rows = self.spark.read.parquet(f"{self.root}/{name}")
+            if kind == "added":
+                rows = rows if terms is None else rows.filter(F.col("term").isin(terms))
+                out = rows if out is None else out.unionByName(rows)
+            elif out is not None:
+                out = out.join(rows, "doc", "left_anti")
+        return out
+
+    def compacted(self) -> TextIndex:
+        return TextIndex(self.spark, f"{self.root}/compacted")._write(self.postings().repartitionByRange("term", "doc").sortWithinPartitions("term"), "added")
+
+    def with_sizes(self) -> TextIndex:
+        """The index with its number of documents and their mean length stored beside it."""
+        lengths = self.postings().groupBy("doc").agg(F.max("len").alias("n"))
+        lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{self.root}/sizes")
+        return self
+
+    def search(self, queries: list[tuple[str, list[str]]], k: int = 10) -> DataFrame:
+        """As `bm25`, from the stored postings; `with_sizes` has to be called after the last change."""
+        terms = sorted({t for _, ts in queries for t in ts})
+        return _best(self.postings(terms), self.spark.read.parquet(f"{self.root}/sizes"), queries, k)
 
 
 def fuse(lanes: DataFrame, item: str, lane: str, rank: str, k: float = 60.0, weights: dict[str, float] | None = None) -> DataFrame:
@@ -105,5 +164,5 @@ def write_vectors(rows: DataFrame, path: str, scope: str, buckets: int = 16) ->
     rows.withColumn("bucket", F.pmod(F.xxhash64(scope), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
-def load_vectors(spark, path: str) -> DataFrame:
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")

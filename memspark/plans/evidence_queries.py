@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.functions import dates, scoring, text
-from memspark.operators import graph
+from memspark.functions import claims, dates, scoring, text
+from memspark.operators import graph, retrieval, search
 from memspark.operators.lineage import materialise
 from memspark.operators.rows import clean_id
-from memspark.plans.reference_queries import _BM25, M, QUESTIONS, _bm25, edges, memories, registry
-from memspark.plans.store_queries import E, T, tombstones
-from memspark.plans.text_queries import _MOVED, _date_sql
+from memspark.plans.reference_queries import _BM25, AS_OF, M, QUESTIONS, _bm25, edges, memories, registry
+from memspark.plans.retrieval_queries import _LANES, PLANS
+from memspark.plans.store_queries import E, T, _usable, tombstones
+from memspark.plans.text_queries import _LIKED, _MOVED, _date_sql
 from memspark.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -211,3 +212,62 @@ def observation_blocks(spark, d):
 
 def _as_item(x):
     return F.concat(F.lit("- "), x["content"])
+
+
+# ---- JSON in texts ----------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, i - 1 AS place, json_extract_string(text, '$.turns[' || (i - 1) || '].role') AS role, trim(regexp_replace(json_extract_string(text, '$.turns[' || (i - 1) || '].text'), '[\\s\\p{Z}]+', ' ', 'g')) AS said
+    FROM (SELECT doc_id, text, unnest(range(1, 1 + json_array_length(text, '$.turns')::BIGINT)) AS i FROM documents WHERE text IS NOT NULL AND starts_with(ltrim(text), '{') AND json_valid(text)) WHERE json_extract_string(text, '$.turns[' || (i - 1) || '].text') <> ''""")
+def json_turns(spark, d):
+    """Turns of documents that are JSON records; broken ones have none."""
+    t = table(spark, d, "documents", "doc_id", "text").filter(F.ltrim("text").startswith("{"))
+    t = t.select("doc_id", F.from_json("text", "turns array<struct<role: string, text: string>>").alias("j")).select("doc_id", F.posexplode("j.turns").alias("place", "t"))
+    return t.filter("t.text <> ''").select("doc_id", F.col("place").cast("long").alias("place"), F.col("t.role").alias("role"), text.one_line(F.col("t.text")).alias("said"))
+
+
+@query(f"SELECT tombstone_id, array_to_string(json_keys(tombstone_json)[1:2], ',') AS keys, len(json_keys(tombstone_json)) AS n FROM {T} WHERE json_valid(tombstone_json)")
+def clipped_json(spark, d):
+    """The first two keys of every tombstone's record, and how many it has."""
+    keys = F.json_object_keys("tombstone_json")
+    return tombstones(spark, d).filter(keys.isNotNull()).select("tombstone_id", F.array_join(F.slice(keys, 1, 2), ",").alias("keys"), F.size(keys).cast("long").alias("n"))
+
+
+# ---- lanes by themselves ------------------------------------------------------------------------------
+
+
+def _lanes(spark, d) -> tuple[DataFrame, DataFrame]:
+    m = memories(spark, d).withColumnRenamed("memory_id", "doc").filter(F.col("content").isNotNull() & (F.col("created_at_ms") <= AS_OF))
+    lexical = materialise(search.bm25(m, "doc", "content", [(n, p.terms) for n, p in PLANS], retrieval.DEPTH), "lexical")
+    vec = _usable(spark, d).filter("memory_id is not null").groupBy(F.col("memory_id").alias("doc")).agg(F.min_by("embedding", "vector_id").alias("vec"))
+    return lexical, materialise(retrieval.vector_lane(lexical.select("query", "doc", "rank"), vec), "vectors")
+
+
+@query(_LANES + "SELECT query, doc, min(lane) AS lane, min(place) AS place FROM (SELECT query, doc, 'first' AS lane, rank AS place FROM vx WHERE rank <= 10 UNION ALL SELECT query, doc, 'second', 10 + rank FROM lx WHERE rank <= 10) GROUP BY 1, 2")
+def combined_search(spark, d):
+    """The ten most similar memories of each question, then the ten best by words, each once; scores of the two are not compared."""
+    lexical, near = _lanes(spark, d)
+    both = near.filter("rank <= 10").select("query", "doc", F.lit("first").alias("lane"), F.col("rank").alias("place")).unionByName(lexical.filter("rank <= 10").select("query", "doc", F.lit("second").alias("lane"), (F.col("rank") + 10).alias("place")))
+    return both.groupBy("query", "doc").agg(F.min("lane").alias("lane"), F.min("place").alias("place"))
+
+
+@query(_LANES + f", sm AS (SELECT memory_id AS doc, CAST({_LIKED.split(', CASE WHEN lower(trim(predicate))')[0].replace('memory_text', 'content')}) AS DOUBLE) AS strength FROM {M} WHERE content IS NOT NULL) SELECT query, doc, round(0.12 * cosine + 0.04 * strength, 6) AS boost FROM vx JOIN sm USING (doc) WHERE cosine >= 0.35 AND strength > 0")
+def preference_boosts(spark, d):
+    """What preferences among the most similar memories add: by how similar and how strong they are."""
+    _, near = _lanes(spark, d)
+    m = memories(spark, d).filter("content is not null").select(F.col("memory_id").alias("doc"), claims.preference_strength(F.col("content")).alias("strength")).filter("strength is not null")
+    return near.filter("cosine >= 0.35").join(m, "doc").select("query", "doc", F.round(0.12 * F.col("cosine") + 0.04 * F.col("strength"), 6).alias("boost"))
+
+
+@query(_LANES + f""", a AS (SELECT query, {_SESSION.format('doc')} AS session_id, min(rank) AS b FROM lx GROUP BY 1, 2), b AS (SELECT query, {_SESSION.format('doc')} AS session_id, min(rank) AS b FROM vx GROUP BY 1, 2),
+u AS (SELECT query, session_id, row_number() OVER (PARTITION BY query ORDER BY b) AS r FROM a UNION ALL SELECT query, session_id, row_number() OVER (PARTITION BY query ORDER BY b) FROM b)
+SELECT query, session_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, session_id) AS place FROM (SELECT query, session_id, round(sum(1 / (60 + r)), 6)::DOUBLE AS score FROM u GROUP BY 1, 2)) WHERE place <= 8""")
+def routed_sessions(spark, d):
+    """Eight sessions for each question, by the votes of its hits by words and by vectors."""
+    out = None
+    for name, lane in zip(("words", "vectors"), _lanes(spark, d), strict=True):
+        s = lane.groupBy("query", F.get(F.split("doc", "::"), F.lit(1)).alias("session_id")).agg(F.min("rank").alias("b"))
+        s = s.select("query", "session_id", F.row_number().over(Window.partitionBy("query").orderBy("b")).alias("r"), F.lit(name).alias("lane"))
+        out = s if out is None else out.unionByName(s)
+    votes = out.groupBy("query", "session_id").agg(F.round(F.sum(1 / (60 + F.col("r"))), 6).alias("score"))
+    return votes.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "session_id"))).filter("place <= 8")

@@ -321,8 +321,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 """
 
 
+_text_indexes: dict[str, search.TextIndex] = {}
+
+
+def text_index(spark, d) -> search.TextIndex:
+    """The stored postings of a folder's memories, written once in a session."""
+    root = f"{scratch_root(spark)}/text-{spark.sparkContext.applicationId}-{uuid.uuid5(uuid.NAMESPACE_URL, d).hex[:12]}"
+    if root not in _text_indexes:
+        docs = memories(spark, d).filter("content is not null")
+        _text_indexes[root] = search.TextIndex(spark, root).add(docs, "memory_id", "content").with_sizes()
+    return _text_indexes[root]
+
+
 def _bm25(spark, d, k):
-    return search.bm25(memories(spark, d).filter("content is not null"), "memory_id", "content", QUESTIONS, k)
+    return text_index(spark, d).search(QUESTIONS, k)
 
 
 @query(_BM25 + "SELECT query, doc, score, rank FROM r WHERE rank <= 10")
@@ -330,6 +342,15 @@ def fts_topk(spark, d):
     return _bm25(spark, d, 10)
 
 
+@query(_BM25.replace("WHERE content IS NOT NULL)", "WHERE content IS NOT NULL AND memory_id NOT IN (SELECT trim(target_memory_id) FROM deletion_tombstones WHERE target_memory_id IS NOT NULL))", 1) + "SELECT query, doc, score, rank FROM r WHERE rank <= 10")
+def text_index_updated(spark, d):
+    """A text index of half of the memories, the other half and some of the first again added, the deleted ones taken away."""
+    m = memories(spark, d).filter("content is not null")
+    part = F.pmod(F.xxhash64("memory_id"), F.lit(4))
+    index = search.TextIndex(spark, f"{scratch_root(spark)}/index-{uuid.uuid4().hex[:8]}").add(m.filter(part < 2), "memory_id", "content").add(m.filter(part >= 1), "memory_id", "content")
+    return index.remove(_seeds(spark, d)).compacted().with_sizes().search(QUESTIONS, 10)
+
+
 @query(_BM25 + "SELECT doc, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT *, CASE query WHEN 'contract' THEN 1.0 WHEN 'audit' THEN 0.74 WHEN 'piano' THEN 0.6 ELSE 0 END AS w FROM r WHERE rank <= 100) WHERE w > 0 GROUP BY 1")
 def weighted_rrf(spark, d):
     return r6(search.fuse(_bm25(spark, d, 100), "doc", "query", "rank", 60.0, {"contract": 1.0, "audit": 0.74, "piano": 0.6, "ramen": 0.0}))

@@ -163,3 +163,16 @@ def test_bounded_walk_and_clusters(spark, rows):
     got = {r.node: round(r.score, 3) for r in graph.edge_cluster_scores(e, seed, ("prefers",), most=2).collect()}
     assert got == {"hub": 0.0, "far": 2.0, "n8": 7.2, "n7": 6.3, "n0": 1.2}
     assert graph.bounded_walk(e.limit(0), seed, 2, 3).count() == 0
+
+
+def test_text_index(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "red piano red"), ("d2", "blue piano"), ("d3", "green tree"), ("d4", ""), ("d5", None)], "id string, t string")
+    index = search.TextIndex(spark, f"file://{tmp_path}/i").add(docs, "id", "t").with_sizes()
+    asked = [("q", ["red", "tree"]), ("p", ["piano"]), ("none", ["zz"])]
+    key = lambda df: sorted(tuple(r) for r in df.select("query", "doc", "score", "rank").collect())
+    assert key(index.search(asked, 2)) == key(search.bm25(docs, "id", "t", asked, 2))
+    again = spark.createDataFrame([("d2", "red tree"), ("d3", None), ("d6", "piano")], "id string, t string")
+    left = spark.createDataFrame([("d2", "red tree"), ("d6", "piano")], "id string, t string")
+    index = index.add(again, "id", "t").remove(docs.filter("id = 'd1'").select("id"))
+    assert key(index.with_sizes().search(asked, 2)) == key(search.bm25(left, "id", "t", asked, 2)) == key(index.compacted().with_sizes().search(asked, 2))
+    assert "term" in index.postings(["red"])._jdf.queryExecution().toString().split("PushedFilters")[1][:60]
