@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.operators.lineage import materialise
+from memspark.operators.lineage import materialise, release
 from memspark.operators.rows import clean_id
 
 MAX_WORDS = 4_000_000  # repeated words whose counts (64 MB) are sent to tasks; of more, the counts are joined
@@ -355,13 +355,14 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, share: float = 0.8, l
     bags = rows.groupBy(*bag).agg(F.min("id").alias("class_id"), F.first("h").alias("h")).withColumn("rid", F.monotonically_increasing_id())
     bags = materialise(bags, "classes")
     toks = materialise(ordered_tokens(bags), "tokens")
+    classes = materialise(rows.join(bags.select(*bag, "class_id"), bag).select("id", "class_id"), "members")
+    release(rows), release(bags)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = grouped_keys(toks, share).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_join_groups(share), "ra long, rb long").distinct()
     side = lambda r, c: toks.select(F.col("rid").alias(r), F.col("toks").alias(f"t{r}"), F.col("n").alias(f"n{r}"), F.col("class_id").alias(c))
     both = pairs.join(side("ra", "ca"), "ra").join(side("rb", "cb"), "rb").withColumn("common", F.size(F.array_intersect("tra", "trb")))
     both = both.filter(F.col("common") >= F.ceil(F.greatest("nra", "nrb") * share - 1e-9))
     pairs = materialise(both.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "common"), "pairs")
-    classes = rows.join(bags.select(*bag, "class_id"), bag).select("id", "class_id")
     return classes, pairs
 
 

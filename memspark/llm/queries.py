@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar observations of every observation whose id is divisible by 50."""
     near = nearest(table(spark, d, "agent_observations", "vector_id", "embedding"), "vector_id", "embedding", probes=40, ask_every=50)
-    return near.select(F.col("id").alias("vector_id"), F.col("near").alias("near_id"), F.round("cosine", 5).alias("cosine"), "rank")
+    return near.select(F.col("id").alias("vector_id"), F.col("near").alias("near_id"), F.round("cosine", 3).alias("cosine"), "rank")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +155,9 @@ near AS (SELECT a, b FROM p WHERE common >= 0.8 * longer - 1e-9)
 """
 _PAIR = "least(a, b) AS {0}_a, greatest(a, b) AS {0}_b"
 SQL = {
+    "p3_topk": """WITH o AS (SELECT vector_id, any_value(embedding) AS e FROM agent_observations WHERE vector_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1), s AS (SELECT a.vector_id, b.vector_id AS near_id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM o a JOIN o b ON a.vector_id <> b.vector_id WHERE a.vector_id % 50 = 0)
+SELECT vector_id, near_id, round(c, 3) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY c DESC, near_id) AS rank FROM s) WHERE rank <= 10""",
     "p3_found": """WITH o AS (SELECT vector_id, any_value(embedding) AS e FROM agent_observations WHERE vector_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1), s AS (SELECT a.vector_id AS a, b.vector_id AS b, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM o a JOIN o b ON a.vector_id <> b.vector_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rank FROM s) SELECT DISTINCT """ + _PAIR.format("vector_id") + """ FROM r WHERE rank <= 10 AND c >= 0.9""",
