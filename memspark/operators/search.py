@@ -121,9 +121,10 @@ def exact_topk(vectors: DataFrame, key: str, vec: str, scope: str | None, querie
         raise ValueError("too many query vectors for one pass: ask in blocks")
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     q = unit(np.array(qs[vec].tolist(), np.float64).reshape(-1, dim))
-    q_ids, q_scope = qs[key].to_numpy(np.int64), qs[scope].to_numpy() if scope else None
+    sent = vectors.sparkSession.sparkContext.broadcast((q, qs[key].to_numpy(np.int64), qs[scope].to_numpy() if scope else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, q_ids, q_scope = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
