@@ -1,6 +1,35 @@
 import random
 
+import pytest
+
 from memspark.operators import resolve
+from memspark.plans import text_queries
+
+
+def invented(n: int, seed: int) -> list[str]:
+    rnd = random.Random(seed)
+    return sorted({"".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(7)) for _ in range(n)})
+
+
+@pytest.fixture()
+def little_to_the_driver(spark):
+    """No table of more than 40 MB may be sent to all tasks; Spark counts any as 32 MB or more."""
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "40m")
+    yield
+    spark.conf.unset(limit)
+
+
+def stored(spark, folder, names: list[str], targets: list[str]) -> str:
+    spark.createDataFrame([(f"e{i}", x) for i, x in enumerate(names)], "entity_id string, canonical_name string").write.parquet(f"{folder}/entity_registry.parquet")
+    spark.createDataFrame([(f"k{i}", "a", x, "leads_to", 1.0, 1) for i, x in enumerate(targets)], "edge_id string, source string, target string, edge_type string, weight double, timestamp_ms long").write.parquet(f"{folder}/edges.parquet")
+    return str(folder)
+
+
+def test_proposals_send_no_names_with_their_keys_to_the_driver(spark, tmp_path, little_to_the_driver):
+    names = invented(6000, 3)
+    got = text_queries.merge_proposals(spark, stored(spark, tmp_path, names, ["x" + x for x in names])).collect()
+    assert {(r.name, r.resolved, r.method, r.priority) for r in got} == {("x" + x, x, "similar", 3) for x in names}
 
 
 def test_similar_names_beyond_the_first_three_letters(spark):
