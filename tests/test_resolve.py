@@ -32,6 +32,32 @@ def test_proposals_send_no_names_with_their_keys_to_the_driver(spark, tmp_path,
     assert {(r.name, r.resolved, r.method, r.priority) for r in got} == {("x" + x, x, "similar", 3) for x in names}
 
 
+def test_names_resolve_with_little_sent_to_the_driver(spark, tmp_path, little_to_the_driver):
+    names = invented(6000, 5)
+    got = text_queries.resolve_similar(spark, stored(spark, tmp_path, names, [*names[:9], "qq", *("x" + x for x in names)])).collect()
+    assert {(r.name, r.resolved, r.method) for r in got} == {*((x, x, "exact") for x in names[:9]), ("qq", None, "none"), *(("x" + x, x, "similar") for x in names)}
+    assert len(got) == len(names) + 10
+
+
+def test_counted_letters_lose_no_pair(monkeypatch):
+    rnd = random.Random(11)
+    known = ["".join(rnd.choice("aabcdeeilnorst é猫") for _ in range(rnd.choice([*range(1, 30), 70, 280]))) for _ in range(250)]
+    asked = []
+    for x in known:
+        y = list(x)
+        for _ in range(1 + len(y) // 8):
+            i = rnd.randrange(len(y))
+            y[i : i + 1] = rnd.choice([[], [y[i], rnd.choice("aeinxz🙂")], [y[-1]]])
+            y = y or ["a"]
+        asked.append("".join(y))
+    want = {(a, k, resolve.jaro_winkler(a, k)) for a in asked for k in known if resolve.jaro_winkler(a, k) >= resolve.NEAR}
+    assert len(want) > 100
+    for own, cells in ((resolve.OWN, resolve.CELLS), (3, 100)):
+        monkeypatch.setattr(resolve, "OWN", own)
+        monkeypatch.setattr(resolve, "CELLS", cells)
+        assert set(resolve.near_pairs(asked, known)) == want
+
+
 def test_similar_names_beyond_the_first_three_letters(spark):
     long = "".join(random.Random(1).choice("abcdefghij ") for _ in range(300))
     reg = spark.createDataFrame([(str(i), x) for i, x in enumerate(["Catherine", "Jonathan", "Zejadire", "Medor Latimeji", "ab" + long, "Quentin"])], "entity_id string, canonical_name string")
