@@ -39,6 +39,21 @@ def test_names_resolve_with_little_sent_to_the_driver(spark, tmp_path, little_to
     assert len(got) == len(names) + 10
 
 
+def test_names_resolve_with_no_table_sent_to_all_tasks(spark, tmp_path):
+    names = invented(300, 9)
+    folder = stored(spark, tmp_path, [*names, "Robert"], [*names[:9], "qq", "Rupert", *("x" + x for x in names)])
+    limits = {"spark.sql.maxBroadcastTableSize": "1k", "spark.sql.autoBroadcastJoinThreshold": "1g"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = text_queries.resolve_similar(spark, folder).collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert {(r.name, r.resolved, r.method) for r in got} == {*((x, x, "exact") for x in names[:9]), ("qq", None, "none"), ("Rupert", "Robert", "phonetic"), *(("x" + x, x, "similar") for x in names)}
+    assert len(got) == len(names) + 11
+
+
 def test_counted_letters_lose_no_pair(monkeypatch):
     rnd = random.Random(11)
     known = ["".join(rnd.choice("aabcdeeilnorst é猫") for _ in range(rnd.choice([*range(1, 30), 70, 280]))) for _ in range(250)]
